@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.langid import identify_language, learn_languages
 from motifloom.llm.packing import pack_documents
+from motifloom.llm.quality import learn_ranker, score_quality
 from motifloom.llm.substring_dedup import substring_dedup
 
 
@@ -31,6 +32,14 @@ def _in_fold(modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
+    ranker = learn_ranker(docs, _table(spark, sf_dir, "labels"), ~held_out, cut=0.3)
+    out = score_quality(docs, ranker)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
@@ -42,6 +51,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_language_id": op8_language_id,
 }
 
