@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from motifloom.llm._shared import shuffle_partitions
 from motifloom.llm._text import U64, Words, binary, mix, runs_hash, sliding_min, slices, words_of
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 SLOT_BITS = 16
 _NULL = np.iinfo(np.int64).max
 
