@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifloom.llm._shared import stored
 from motifloom.llm.jaccard_join import jaccard_components
 from motifloom.llm.langid import identify_language, learn_languages
 from motifloom.llm.packing import pack_documents
 from motifloom.llm.quality import learn_ranker, score_quality
 from motifloom.llm.substring_dedup import substring_dedup
+from motifloom.llm.warc import assemble, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(_table(spark, sf_dir, "pages"), min_payload_bytes=0)
+    captures = assemble(read_warc(spark, manifest, with_payload=False))
+    about = F.from_json(F.col("metadata.body").cast("string"), "page_id long, url string, payload_bytes long")
+    rows = captures.select(
+        about["page_id"].alias("page_id"), F.coalesce("response.payload_bytes", about["payload_bytes"]).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("target"),
+    )
+    rows = stored(rows, "captures")
+    responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.max("page_id").alias("refers_to"))
+    met = rows.join(responses, "target", "left")
+    return met.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
 
@@ -58,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
@@ -73,6 +90,13 @@ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) AS t FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+""",
+    "op9_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS x FROM p),
+v AS (SELECT page_id, n, x, list_transform(generate_series(1, 40), lambda i: instr('0123456789abcdef', x[i:i]) - 1) AS d FROM h),
+b AS (SELECT page_id, n, x, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((d[(5 * i) // 4 + 1] * 16 + coalesce(d[(5 * i) // 4 + 2], 0)) >> (3 - (5 * i) % 4)) & 31) AS INTEGER), 1)), '') AS g, max(page_id) OVER (PARTITION BY x) AS last FROM v)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM b
 """,
     "op10_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
