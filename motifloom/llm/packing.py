@@ -10,7 +10,9 @@ again by best-fit decreasing, and the better of both packings stays.  Packing on
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from motifloom.llm._text import binary, slices
 
 PARTITION_PIECES = 60_000
 FAN_IN = 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -37,6 +39,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # one task, one core: the library's own threads only cost time here
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,27 +55,19 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() if t else [] for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        table = known
+        split = [t.split() if t else [] for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        holes = [i for i, ids in enumerate(found) if None in ids]
+        new = list({w for i in holes for w, x in zip(split[i], found[i], strict=True) if x is None})
         if new:
             done = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, done, strict=True)}
+            fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, done, strict=True)}
+            for i in holes:
+                found[i] = [fresh[w] if x is None else x for w, x in zip(split[i], found[i], strict=True)]
             if len(known) + len(fresh) <= CACHED_WORDS:
                 known.update(fresh)
-            else:
-                table = _Either(known, fresh)
-        return [b"".join([table[w] for w in words]) for words in split]
-
-
-class _Either(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+        return [b"".join(ids) for ids in found]
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,14 +183,14 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3) -> D
         return _gap_and_offer(table, capacity, tag)
 
     packed = stored(start.groupBy("part").applyInArrow(first, schema), "packed")
-    for r in range(1, rounds + 1):
+    for r in range(rounds):
         open_parts = packed.filter("offered").agg(F.countDistinct("part")).first()[0]
         if open_parts < 2:  # one partition alone has nobody to exchange with
             break
         moving = F.pmod(F.xxhash64("part", F.lit(r)), F.lit(max(1, open_parts // FAN_IN)))
 
-        def again(key, table, r=r):
-            tag = (r << 24) + key[0].as_py()
+        def again(key, table):
+            tag = ((r + 1) << 24) + key[0].as_py()
             lengths = table["length"].to_numpy()
             bins, offsets = best_fit_decreasing(lengths, capacity)
             if bins.max() + 1 < len(table["sequence_id"].unique()):
