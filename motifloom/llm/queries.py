@@ -13,6 +13,7 @@ from motifloom.llm.jaccard_join import jaccard_components
 from motifloom.llm.langid import identify_language, learn_languages
 from motifloom.llm.packing import pack_documents
 from motifloom.llm.quality import learn_ranker, score_quality
+from motifloom.llm.simhash import fingerprint_documents
 from motifloom.llm.substring_dedup import substring_dedup
 from motifloom.llm.warc import assemble, read_warc, write_warc
 
@@ -35,6 +36,10 @@ def _in_fold(modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
@@ -72,6 +77,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simhash": op3_simhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
