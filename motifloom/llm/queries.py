@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import stored
+from motifloom.llm.byte_bpe import encode_documents
 from motifloom.llm.jaccard_join import jaccard_components
 from motifloom.llm.langid import identify_language, learn_languages
 from motifloom.llm.packing import pack_documents
@@ -48,6 +49,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash": op3_simhash,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
