@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import stored
+from motifloom.llm.ann import nearest
 from motifloom.llm.byte_bpe import encode_documents
 from motifloom.llm.jaccard_join import jaccard_components
 from motifloom.llm.langid import identify_language, learn_languages
@@ -54,6 +55,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_nearest": op7_nearest,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
