@@ -12,6 +12,7 @@ from motifloom.llm._shared import stored
 from motifloom.llm.ann import nearest
 from motifloom.llm.byte_bpe import encode_documents
 from motifloom.llm.jaccard_join import jaccard_components
+from motifloom.llm.kneser_ney import score_documents, train
 from motifloom.llm.langid import identify_language, learn_languages
 from motifloom.llm.packing import pack_documents
 from motifloom.llm.quality import learn_ranker, score_quality
@@ -42,6 +43,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_in_fold(7, 2), F.lit(False))
+    model = train(docs.filter(~held_out))
+    return score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_in_fold(5, 0), F.lit(False))
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash": op3_simhash,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_nearest": op7_nearest,
