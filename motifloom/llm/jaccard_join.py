@@ -9,9 +9,9 @@ if shorter).  Two documents link when |A n B| / |A u B| >= threshold.
    n - ceil(t n) + l and m - ceil(t m) + l) share l shingles, for every l.  Each document takes
    the l of the smallest estimated cost: longer prefixes put more rows in the lists, but each
    candidate then needs more shared shingles before it is verified.
-3. Prefix shingles meet by hash.  Within a list every member is first paired only with one
-   leader (one of LEADERS, by the list's hash), these pairs are verified on the full sets, and
-   links become components.
+3. Prefix shingles meet by hash.  Within a list every member is first paired only with the
+   list's LEADERS leaders, these pairs are verified on the full sets, and links become
+   components.
 4. Only pairs that are still in different components can change the result: all of these that
    share enough prefix shingles are verified as well.  So no link between components is lost,
    and a large group of near copies costs about its size, not its square.
@@ -35,7 +35,7 @@ from motifloom.llm.components import connected_components
 
 SLOT_BITS = 22
 CHUNK_BITS = 18
-LEADERS = 4
+LEADERS = 3
 MOST_MATCHES = 3
 VERIFY_COST = 8.0
 FLUSH_ROWS = 1_500_000
@@ -111,8 +111,8 @@ def choose_matches(levels: np.ndarray, n: int, need: int, common: float) -> int:
     return 1 + int(np.argmin(scan * (1 + VERIFY_COST / 4.0 ** np.arange(top))))
 
 
-def ordered_prefix(h: np.ndarray, level: np.ndarray, num: int, den: int, common: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(shingles of the prefix, the smallest l whose prefix holds each, the l chosen)."""
+def ordered_prefix(h: np.ndarray, level: np.ndarray, num: int, den: int, common: float) -> tuple[np.ndarray, int]:
+    """(shingles of the prefix in order, the l chosen)."""
     n = len(h)
     need = -(-n * num // den)
     lv = level[_slots(h)]
@@ -121,23 +121,22 @@ def ordered_prefix(h: np.ndarray, level: np.ndarray, num: int, den: int, common:
     order = np.argpartition(key, take - 1)[:take] if take < n else np.arange(n)
     order = order[np.argsort(key[order])]
     matches = choose_matches(lv[order], n, need, common)
-    length = n - need + matches
-    return h[order[:length]], np.maximum(1, np.arange(1, length + 1) - (n - need)), matches
+    return h[order[: n - need + matches]], matches
 
 
 def _prefix_rows(size: int, num: int, den: int, buckets: int, level_data, common: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(zstandard.decompress(level_data.value), dtype=np.uint8)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int]] = []  # prefix, class, n << 32 | l
         rows = 0
         for b in slices(batches, "text"):
             for cls, h in _shingles(words_of(binary(b.column("text")), lower=True), size):
                 if not len(h) or cls in seen:
                     continue
                 seen.add(cls)
-                t, tag, matches = ordered_prefix(h, level, num, den, common)
-                held.append((t, cls, (len(h) << 8) | (matches << 4) | 0, tag))
+                t, matches = ordered_prefix(h, level, num, den, common)
+                held.append((t, cls, (len(h) << 32) | matches))
                 rows += len(t)
             if rows >= FLUSH_ROWS:
                 yield from _flush(held, buckets)
@@ -153,7 +152,7 @@ def _flush(held, buckets: int) -> Iterator[pa.RecordBatch]:
     sizes = [len(x[0]) for x in held]
     token = np.concatenate([x[0] for x in held])
     cls = np.repeat(np.array([x[1] for x in held], dtype=np.int64), sizes)
-    info = np.repeat(np.array([x[2] for x in held], dtype=np.int64), sizes) | np.concatenate([x[3] for x in held])
+    info = np.repeat(np.array([x[2] for x in held], dtype=np.int64), sizes) | (np.concatenate([np.arange(k) for k in sizes]) << 4)
     bucket = (mix(token) % U64(buckets)).astype(np.int64)
     order = np.lexsort((token, bucket))
     token, cls, info, bucket = token[order], cls[order], info[order], bucket[order]
@@ -179,6 +178,22 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).reshape(3, -1).view("<i8").reshape(3, n)
 
 
+def _parts(info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set size, position in the order from 0, l) of packed numbers."""
+    return info >> 32, (info & 0xFFFFFFFF) >> 4, info & 15
+
+
+def may_link(n, pos, matches, m, at, others, num: int, den: int) -> np.ndarray:
+    """Whether a shared shingle at positions ``pos`` and ``at`` can be one of the first l shared.
+
+    Sets of n and m that link share o >= num (n + m) / (num + den).  The k-th shared shingle has
+    o - k more behind it in both, so for k <= l at least o - l + 1 places are left from it on.
+    """
+    need = -(-num * (n + m) // (num + den))
+    left = np.minimum(n - pos, m - at)
+    return (left >= need - np.minimum(matches, others) + 1) & (np.minimum(n, m) * den >= np.maximum(n, m) * num)
+
+
 _LIST = "token long, cls long, info long, other long"
 
 
@@ -206,15 +221,19 @@ def _lists(num: int, den: int):
                 continue
             token, cls, info = token[keep], cls[keep], info[keep]
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array(info), pa.nulls(len(token), pa.int64())], schema=schema)
+            n, pos, matches = _parts(info)
             group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-            choice = mix(cls.view(U64) ^ mix((token.view(U64) % U64(LEADERS)) + U64(77)))
-            by = np.lexsort((choice, group))
-            first = by[np.concatenate(([True], group[by][1:] != group[by][:-1]))]
-            lead, n = cls[first][group], info >> 8
-            n_lead = n[first][group]
-            fits = (lead != cls) & (np.minimum(n, n_lead) * den >= np.maximum(n, n_lead) * num)
-            if fits.any():
-                pairs.append(np.unique(np.stack((lead[fits], cls[fits]), axis=1), axis=0))
+            # leaders have the fewest rarer shingles before the shared one: what near copies
+            # are copies of, rather than one of its changed forms
+            by = np.lexsort((cls, (pos << 20) // n, group))
+            edge = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
+            size = np.diff(np.append(edge, len(by)))
+            for k in range(LEADERS):
+                lead = by[edge + np.minimum(k, size - 1)][group]
+                fits = (cls[lead] != cls) & may_link(n, pos, matches, n[lead], pos[lead], matches[lead], num, den)
+                if fits.any():
+                    x, y = cls[lead][fits], cls[fits]
+                    pairs.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0))
         if pairs:
             p = np.unique(np.concatenate(pairs), axis=0)
             for i in range(0, len(p), 100_000):
@@ -233,27 +252,24 @@ def _cross(num: int, den: int):
         if table is None or not table.num_rows:
             return
         token, cls, info, root = (table[c].to_numpy() for c in ("token", "cls", "info", "root"))
-        order = np.lexsort((info >> 8, token))
-        token, cls, info, root = token[order], cls[order], info[order], root[order]
-        n, matches, tag = info >> 8, (info >> 4) & 15, info & 15
+        order = np.argsort(token, kind="stable")
+        token, cls, root = token[order], cls[order], root[order]
+        n, pos, matches = _parts(info[order])
         edges = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
         out: list[np.ndarray] = []
         waiting = 0
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a < 2 or (root[a:b] == root[a]).all():
                 continue
-            # members ascend by n: partners of i are those up to n * den / num
-            reach = a + np.searchsorted(n[a:b], n[a:b] * den // num, side="right")
-            for i in range(a, b):
-                j = np.arange(i + 1, reach[i - a])
-                j = j[root[j] != root[i]]
-                if not len(j):
-                    continue
-                least = np.minimum(matches[i], matches[j])
-                counts = (tag[j] <= least) & (tag[i] <= least)
-                j, least = j[counts], least[counts]
+            roots, own, size = np.unique(root[a:b], return_inverse=True, return_counts=True)
+            rest = own != np.argmax(size)
+            every = np.arange(a, b)
+            for i in (np.flatnonzero(rest) + a).tolist():
+                # partners: all of the largest component, and of others those not yet met
+                j = every[(root[a:b] != root[i]) & (~rest | (every > i))]
+                j = j[may_link(n[i], pos[i], matches[i], n[j], pos[j], matches[j], num, den)]
                 if len(j):
-                    out.append(np.stack((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), least), axis=1))
+                    out.append(np.stack((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(matches[i], matches[j])), axis=1))
                     waiting += len(j)
             if waiting > 1_000_000:
                 yield _counted(out)
