@@ -1,0 +1 @@
+"""Relaxed temporal motif mining on Spark DataFrames."""
