@@ -132,7 +132,7 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     A line ``startT: s<TAB>endT: e`` holds for the lines after it; ``E<n>`` announces a line of n ids.
     Order of lines matters, so each file is one text value.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "(?m)^(?=startT:)")).alias("x"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "(?m)^(?=startT:)")).alias("x"))
     cell = whole.filter(F.col("x").startswith("startT:")).select(
         F.regexp_extract("x", r"startT:\s*(\d+)", 1).cast("int").alias("s"), F.regexp_extract("x", r"endT:\s*(\d+)", 1).cast("int").alias("e"),
         F.explode(F.regexp_extract_all("x", F.lit(r"(?m)^E\d+[ \t]*\r?\n([\d, ]+)"), F.lit(1))).alias("ids"),
