@@ -128,6 +128,15 @@ def probes_needed(q: Quantiser, x: np.ndarray, k: int, aim: float = AIM, queries
     return int(np.searchsorted(found, aim * found[-1])) + 1 if found[-1] else len(met)
 
 
+def kth_score(x: np.ndarray, ids: np.ndarray, known: np.ndarray, known_ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k known candidates reach: no row below it can be among the k nearest."""
+    score = x @ known.T
+    score[ids[:, None] == known_ids] = -np.inf
+    if score.shape[1] < k:
+        return np.full(len(x), -np.inf)
+    return np.partition(score, -k, axis=1)[:, -k] - 1e-9
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -155,16 +164,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
     total = rows.count()
     rank = F.xxhash64("vec_id", F.lit(1))
     bound = min(2**63 - 1, int(-(2**63) + min(1.0, 1.2 * SAMPLE / max(1, total)) * 2**64))
-    sample = [r["v"] for r in rows.filter(rank <= F.lit(bound)).orderBy(rank).limit(SAMPLE).select("v").collect()]
+    sample = rows.filter(rank <= F.lit(bound)).orderBy(rank).limit(SAMPLE).select("vec_id", "v").collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty
-    sizes = np.bincount([len(v) for v in sample])
+    sizes = np.bincount([len(r["v"]) for r in sample])
     dim = int(np.argmax(sizes))
     rows = rows.filter(F.size("v") == dim)
-    known = np.array([v for v in sample if len(v) == dim])
+    sample = [r for r in sample if len(r["v"]) == dim]
+    known, known_ids = np.array([r["v"] for r in sample]), np.array([r["vec_id"] for r in sample])
     model = fit(known, min(LISTS, max(1, total // LIST_ROWS)))
     shared = spark.sparkContext.broadcast(model)
+    seen = spark.sparkContext.broadcast((known, known_ids))  # SAMPLE vectors at most
     lists = len(model.centroids)
     probes = min(lists, probes or probes_needed(model, known, k))
 
@@ -188,15 +199,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("v"), dim)
+            x, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
             near = x @ shared.value.centroids.T
             chosen = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            # twice k known candidates: enough are left where the scan misses some
+            least = np.concatenate([kth_score(x[a : a + 256], ids[a : a + 256], *seen.value, 2 * k) for a in range(0, len(x), 256)])
+            # and each part gives a few in any case, so that every query fills its ranks
+            few = np.ceil(2 * k / np.maximum(1, blocks[chosen].sum(axis=1))).astype(np.int32)
             i, j, n = np.repeat(np.arange(len(x)), probes), chosen.ravel(), blocks[chosen.ravel()]
             i, j, n = np.repeat(i, n), np.repeat(j, n), n
             part = np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_pydict({"list": pa.array(j, pa.int32()), "block": pa.array(part, pa.int32()), "query_id": b.column("vec_id").take(pa.array(i)), "v": b.column("v").take(pa.array(i))})
+            yield pa.RecordBatch.from_pydict({"list": pa.array(j, pa.int32()), "block": pa.array(part, pa.int32()), "query_id": b.column("vec_id").take(pa.array(i)), "v": b.column("v").take(pa.array(i)), "least": pa.array(least[i]), "few": pa.array(few[i])})
 
-    asked = table.filter("q").select("vec_id", "v").mapInArrow(probe, "list int, block int, query_id long, v array<double>")
+    asked = table.filter("q").select("vec_id", "v").mapInArrow(probe, "list int, block int, query_id long, v array<double>, least double, few int")
 
     def scan(rows_here, queries):
         out = [], [], []
@@ -209,7 +224,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
             codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
             m = len(q.books)
             flat = np.ascontiguousarray((codes[:, :m] + 16 * np.arange(m)).T)
-            asks, qid = _matrix(queries["v"].combine_chunks(), dim), queries["query_id"].to_numpy()
+            asks, qid, least = _matrix(queries["v"].combine_chunks(), dim), queries["query_id"].to_numpy(), queries["least"].to_numpy()
+            few = queries["few"].to_numpy()
             tables = q.tables(asks).reshape(len(asks), -1)
             for n in range(len(asks)):
                 rough = tables[n][flat[0]].copy()
@@ -221,6 +237,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
                 best = best[rough[best] > -np.inf]
                 score = (x[best] * asks[n]).sum(axis=1)
                 keep = np.lexsort((ids[best], -score))[:k]
+                keep = keep[(score[keep] >= least[n]) | (np.arange(len(keep)) < few[n])]
                 out[0].append(np.full(len(keep), qid[n]))
                 out[1].append(ids[best[keep]])
                 out[2].append(score[keep])
