@@ -130,7 +130,7 @@ def _pack(block: _Block, buckets: int) -> list[tuple]:
     rows = []
     m = np.flatnonzero(marked)
     for t, spans in _ranges(text[m], start[m], k):
-        rows.append((int(mix(np.array([block.th[t]]).view(U64))[0] % U64(buckets)), None if block.ids[t] == _NULL else int(block.ids[t]), int(block.th[t]), spans.tobytes()))
+        rows.append((hash((int(block.ids[t]), int(block.th[t]))) % buckets, None if block.ids[t] == _NULL else int(block.ids[t]), int(block.th[t]), spans.tobytes()))
     keep = np.flatnonzero(~marked)
     if not len(keep):
         return rows
