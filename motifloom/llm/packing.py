@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens.  Partitions of bounded size pack their
 pieces by best-fit decreasing and bound their own optimum from below with dual-feasible
-functions.  A partition that meets its bound is certified and done.  Partitions with a gap give
-their least filled sequences to an exchange: those of several partitions are pooled, packed
-again by best-fit decreasing, and the better of both packings stays.  Packing only moves
+functions.  That certifies it, up to the free space of its last sequences.  Partitions exchange their
+least filled sequences, more of them where there is a gap to the bound: those of several
+partitions are pooled, packed again by best-fit decreasing, and the better of both packings stays.  Packing only moves
 (row, length) records; the text is read once, for tokenising.
 """
 
@@ -149,15 +149,18 @@ def _arranged(table: pa.Table, bins: np.ndarray, offsets: np.ndarray, tag: int)
 
 
 def _gap_and_offer(table: pa.Table, capacity: int, tag: int) -> pa.Table:
-    """Marks the rows of the least filled sequences, if the partition isn't certified."""
+    """Marks the rows to exchange: none of a packing without free space, else the least filled
+    sequences (more of them, the further the packing is from its bound) and those of the most,
+    so smallest, pieces, which fill others' gaps."""
     lengths = table["length"].to_numpy()
     _, bins = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
     n = bins.max() + 1
     gap = int(n) - lower_bound(lengths, capacity)
     offer = np.zeros(n, dtype=bool)
-    if gap:
-        fill = np.bincount(bins, weights=lengths)
+    fill = np.bincount(bins, weights=lengths)
+    if (fill < capacity).any():
         offer[np.argsort(fill, kind="stable")[: 8 + 4 * gap]] = True
+        offer[np.argsort(-np.bincount(bins), kind="stable")[:8]] = True
     table = table.set_column(table.schema.get_field_index("offered"), "offered", pa.array(offer[bins]))
     table = table.set_column(table.schema.get_field_index("gap"), "gap", pa.array(np.full(len(lengths), gap), pa.int64()))
     return table.set_column(table.schema.get_field_index("part"), "part", pa.array(np.full(len(lengths), tag), pa.int64()))
@@ -187,7 +190,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3) -> D
         open_parts = packed.filter("offered").agg(F.countDistinct("part")).first()[0]
         if open_parts < 2:  # one partition alone has nobody to exchange with
             break
-        moving = F.pmod(F.xxhash64("part", F.lit(r)), F.lit(max(1, open_parts // FAN_IN)))
+        moving = F.pmod(F.xxhash64("part", F.lit(r)), F.lit(-(-open_parts // FAN_IN)))
 
         def again(key, table):
             tag = ((r + 1) << 24) + key[0].as_py()
