@@ -6,7 +6,9 @@ setting is absent (tests, one machine) a folder of the machine is used.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, unused path below the cluster's shared folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "motifloom", spark.sparkContext.applicationId)
+        own = os.path.join(tempfile.gettempdir(), "motifloom", spark.sparkContext.applicationId)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     return f"{base.rstrip('/')}/motifloom/{name}-{uuid.uuid4().hex}"
 
 
