@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     setting is absent, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "motifloom", spark.sparkContext.applicationId)
+        own = os.path.join(tempfile.gettempdir(), "motifloom", spark.sparkContext.applicationId)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     return f"{base.rstrip('/')}/motifloom/{name}-{uuid.uuid4().hex}"
 
 
