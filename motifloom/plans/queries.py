@@ -436,7 +436,7 @@ def validate(spark, sf_dir):
 def stream_append(spark, sf_dir):
     """The snapshots as a stream of files, in batches of several days."""
     edges, cells = events(spark, sf_dir)
-    miner = MotifStream(edges, K, DELTA, C)
+    miner = MotifStream(edges, K, DELTA, C, shared_path(spark, "motif-stream"))
     source, checkpoint = shared_path(spark, "snapshots"), shared_path(spark, "stream")
     for low, high in ((-1, SPLIT), (SPLIT, 24), (24, 29)):
         edge_list.limited(cells, high, low).coalesce(1).write.mode("append").parquet(source)

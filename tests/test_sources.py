@@ -62,12 +62,13 @@ def test_densify_and_spread(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     edges, cells = frames(spark, T1)
-    miner = MotifStream(edges, 3, 0.25, 1)
-    source = f"file://{tmp_path}/in"
+    source, home = f"file://{tmp_path}/in", f"file://{tmp_path}/home"
     for low, high in ((0, 4), (5, 5), (6, 7)):
         cells.filter(F.col("t").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        miner = MotifStream(edges, 3, 0.25, 1, home)  # as after a restart
         miner.start(snapshots(spark, source), f"file://{tmp_path}/check").awaitTermination()
     assert found(miner.motifs) == brute(T1, 3, 0.25, 1)
     miner.append(cells.filter("t = 3"), 0)  # a batch that was taken already
+    assert found(MotifStream(edges, 3, 0.25, 1, home).motifs) == brute(T1, 3, 0.25, 1)
     with pytest.raises(ValueError, match="was mined"):
         miner.append(cells.filter("t = 3"), 99)
