@@ -17,14 +17,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import mmap
+import re
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import local_copy, put_file, shared_dir, stored
@@ -32,10 +35,11 @@ from motifloom.llm._text import U64, slices, span_hashes
 
 BUCKETS = 1 << 16
 FOLD_BYTES = 48  # longer pieces are merged with a heap: the fold's time grows with the square
-TASK_PIECES = 400_000
-CACHED_PIECES = 300_000
+TASK_PIECES = 300_000
+CACHED_UNITS = 350_000
 FILE_PIECES = 500_000
 _NONE = 2**31 - 1
+ID = np.dtype("<u4")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,38 +47,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of maps; the key's CRC-32 gives the index."""
+def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The ranks as literals: an array of maps that the key's hash indexes, and, for pairs of
+    single bytes, an array that 256 * first + second indexes."""
+    keys = [(token.decode("latin-1"), rank) for token, rank in ranks.items()]
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    placed = spark.createDataFrame(keys, "key string, rank int").select("key", "rank", F.hash("key").bitwiseAND(BUCKETS - 1).alias("b"))
+    for r in placed.collect():  # the tokenizer's fixed vocabulary
+        maps[r["b"]][r["key"]] = r["rank"]
+    pairs = [ranks.get(bytes((i >> 8, i & 255)), _NONE) for i in range(1 << 16)]
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(pairs)), "array<int>")
 
 
-def fold_merges(piece: Column, ranks: Column) -> Column:
-    """Ids of a piece (a string of byte characters) as array<int>; ``ranks`` is rank_literal()."""
+def fold_merges(piece: Column, literals: tuple[Column, Column]) -> Column:
+    """Ids of a piece (a string of byte characters) as array<int>; literals: rank_literal()."""
 
     def of(maps: Column, key: Column) -> Column:
-        return F.coalesce(maps[F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")][key], F.lit(_NONE))
+        return F.coalesce(F.get(maps, F.hash(key).bitwiseAND(BUCKETS - 1))[key], F.lit(_NONE))
 
     def merged(maps: Column, state: Column) -> Column:
         p, r = state["p"], state["r"]
 
         def at(pos: Column) -> Column:
-            new = F.concat(F.element_at(p, pos), F.element_at(p, pos + 1))
-            left = F.when(pos > 1, F.array(of(maps, F.concat(F.try_element_at(p, pos - 1), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(pos + 1 < F.size(p), F.array(of(maps, F.concat(new, F.try_element_at(p, pos + 2))))).otherwise(F.array().cast("array<int>"))
+            new = F.concat(F.get(p, pos - 1), F.get(p, pos))
+            # the pairs with the part before and the part after, null at the ends
+            keys = F.array(F.concat(F.get(p, pos - 2), new), F.concat(new, F.get(p, pos + 1)))
+            ranks = F.transform(F.filter(keys, lambda key: key.isNotNull()), lambda key: of(maps, key))
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), pos - 1), F.array(new), F.slice(p, pos + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(pos - 2, F.lit(0))), left, right, F.slice(r, pos + 2, F.size(p))).alias("r"),
+                F.concat(F.slice(p, F.lit(1), pos - 1), F.array(new), F.slice(p, pos + 2, F.lit(FOLD_BYTES))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(pos - 2, F.lit(0))), ranks, F.slice(r, pos + 2, F.lit(FOLD_BYTES))).alias("r"),
             )
 
         return F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), at)[0]
 
     def fold(maps: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: of(maps, F.substring(piece, i, F.lit(2))))
+        code = lambda i: F.ascii(F.substring(piece, i, F.lit(1)))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.get(literals[1], code(i) * 256 + code(i + 1)))
         ended = F.aggregate(
             F.sequence(F.lit(1), F.length(piece) - 1),
             F.struct(parts.alias("p"), pairs.alias("r")),
@@ -83,7 +92,7 @@ def fold_merges(piece: Column, ranks: Column) -> Column:
         whole = of(maps, piece)
         return F.when(whole != _NONE, F.array(whole)).otherwise(F.transform(ended["p"], lambda x: of(maps, x)))
 
-    return F.transform(F.array(ranks), fold)[0]
+    return F.transform(F.array(literals[0]), fold)[0]
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -110,22 +119,54 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
 
 
+class Cutter:
+    """Cuts texts into units whose pieces do not depend on their surroundings.
+
+    Where a single space stands between two characters that are not white space, every piece ends
+    before it, and the next begins with it.  So a text without other neighbours of spaces is its
+    first unit and ``" " + unit`` for each further one, and only distinct units need the
+    pattern.  Any other text is cut by the pattern itself.
+    """
+
+    def __init__(self, pattern: str):
+        self.pieces = regex.compile(pattern).findall
+        self._odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+    def units(self, text: str) -> list[str] | None:
+        """The units, or None if the text has to be cut as a whole."""
+        if text[:1].isspace() or text[-1:].isspace() or "  " in text:
+            return None
+        for x in "\n\t\r\x0b\x0c":
+            if x in text and (x + " " in text or " " + x in text):
+                return None
+        return None if self._odd(text) else text.split(" ")
+
+
 def _distinct_pieces(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        cutter = Cutter(pattern)
         seen: set[str] = set()
+        units: set[str] = set()
 
         def out() -> pa.RecordBatch:
+            if units:
+                # units side by side are cut as each of them alone
+                seen.update(cutter.pieces(" " + " ".join(units)))
             return pa.RecordBatch.from_pydict({"piece": pa.array([x.encode().decode("latin-1") for x in seen], pa.string())})
 
         for b in slices(batches, "text"):
             for t in b.column("text").to_pylist():
-                if t:
-                    seen.update(find(t))
-            if len(seen) >= TASK_PIECES:
+                if not t:
+                    continue
+                if (cut := cutter.units(t)) is None:
+                    seen.update(cutter.pieces(t))
+                else:
+                    seen.update(cutter.pieces(cut[0]))
+                    units.update(cut[1:])
+            if len(seen) + len(units) >= TASK_PIECES:
                 yield out()
-                seen = set()
-        if seen:
+                seen, units = set(), set()
+        if seen or units:
             yield out()
 
     return run
@@ -145,7 +186,7 @@ def piece_table(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col
     spark = docs.sparkSession
     pieces = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_distinct_pieces(pattern), "piece string").distinct()
     pieces = stored(pieces, "pieces")
-    short = pieces.filter(F.length("piece") <= FOLD_BYTES).select("piece", fold_merges(F.col("piece"), rank_literal(ranks)).alias("ids"))
+    short = pieces.filter(F.length("piece") <= FOLD_BYTES).select("piece", fold_merges(F.col("piece"), rank_literal(spark, ranks)).alias("ids"))
     long = pieces.filter(F.length("piece") > FOLD_BYTES).mapInArrow(_long_pieces(spark.sparkContext.broadcast(ranks)), "piece string, ids array<int>")
     return stored(short.unionAll(long), "ids")
 
@@ -179,34 +220,45 @@ class PieceFiles:
 
     def _file(self, n: int):
         if n not in self._open:
-            m = np.memmap(local_copy(self.path(n)), np.uint8, "r")
-            k = int(m[:8].view("<i8")[0])
-            h, ends = m[8 : 8 + 8 * k].view("<u8"), m[8 + 8 * k : 8 + 24 * k].view("<i8").reshape(2, k)
-            self._open[n] = h, ends, m[8 + 24 * k :]
+            with open(local_copy(self.path(n)), "rb") as f:
+                m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            k = int(np.frombuffer(m, "<i8", 1)[0])
+            self._open[n] = np.frombuffer(m, "<u8", k, 8), np.frombuffer(m, "<i8", 2 * k, 8 + 8 * k).reshape(2, k), m
         return self._open[n]
 
     def find(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of known pieces; equal hashes are told apart by the bytes."""
+        """The packed ids of known pieces; equal hashes are told apart by the bytes."""
         out: list[bytes] = [b""] * len(pieces)
         hashes = _hash_pieces(pieces)
         where = self.of(hashes)
-        for n in np.unique(where).tolist():
-            mine = np.flatnonzero(where == n)
+        order = np.argsort(hashes)
+        for n, mine in zip(*_grouped(where[order], order), strict=True):
             h, ends, data = self._file(n)
-            first = int(ends[0, -1])
-            for i, at in zip(mine.tolist(), np.searchsorted(h, hashes[mine]).tolist(), strict=True):
-                while True:
-                    if at >= len(h) or h[at] != hashes[i]:
-                        raise KeyError(pieces[i])
-                    lo = int(ends[0, at - 1]) if at else 0
-                    if data[lo : int(ends[0, at])].tobytes() == pieces[i]:
-                        break
-                    at += 1
-                lo = first + (int(ends[1, at - 1]) if at else 0)
-                out[i] = data[lo : first + int(ends[1, at])].tobytes()
+            at = np.minimum(np.searchsorted(h, hashes[mine]), len(h) - 1)
+            base = 8 + 24 * len(h)
+            first = base + int(ends[0, -1])
+            lo, hi = (base + np.where(at > 0, ends[0, at - 1], 0)).tolist(), (base + ends[0, at]).tolist()
+            lo_ids, hi_ids = (first + np.where(at > 0, ends[1, at - 1], 0)).tolist(), (first + ends[1, at]).tolist()
+            for i, a, b, c, d, place in zip(mine.tolist(), lo, hi, lo_ids, hi_ids, at.tolist(), strict=True):
+                piece = pieces[i]
+                if data[a:b] == piece:
+                    out[i] = data[c:d]
+                    continue
+                while data[a:b] != piece:  # another piece of the same hash
+                    place += 1
+                    if place >= len(h) or h[place] != hashes[i]:
+                        raise KeyError(piece)
+                    a, b = base + int(ends[0, place - 1]), base + int(ends[0, place])
+                out[i] = data[first + int(ends[1, place - 1]) : first + int(ends[1, place])]
         return out
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct ascending keys and the values of each."""
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at].tolist(), np.split(values, at[1:])
+
+
 def piece_files(table: DataFrame) -> PieceFiles:
     """Write ``table(piece, ids)`` as hash arrays to the shared folder."""
     spark = table.sparkSession
@@ -220,38 +272,91 @@ def piece_files(table: DataFrame) -> PieceFiles:
                 yield pa.RecordBatch.from_pydict({"n": pa.array(files.of(_hash_pieces(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary()), "ids": b.column("ids")})
 
     def write(key, rows):
-        files.write(key[0].as_py(), rows["piece"].to_pylist(), [",".join(map(str, x)).encode() for x in rows["ids"].to_pylist()])
+        files.write(key[0].as_py(), rows["piece"].to_pylist(), [np.array(x, ID).tobytes() for x in rows["ids"].to_pylist()])
         return pa.table({"n": pa.array([key[0].as_py()], pa.int32())})
 
     table.mapInArrow(place, "n int, piece binary, ids array<int>").groupBy("n").applyInArrow(write, "n int").count()
     return files
 
 
+class Tokens:
+    """The tokens' bytes and decimal ids as arrays, to write many ids at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            by_id[i] = token
+        self.bytes = self._packed(by_id)
+        self.decimal = self._packed([b"%d," % i for i in range(len(by_id))])
+
+    @staticmethod
+    def _packed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+    @staticmethod
+    def _written(packed: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+        """The entries of each text's ids, one after another."""
+        data, start, size = table
+        ids = np.frombuffer(b"".join(packed), ID).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size[ids])))
+        places = np.arange(ends[-1]) + np.repeat(start[ids] - ends[:-1], size[ids])
+        out = data[places].tobytes()
+        bounds = ends[np.concatenate(([0], np.cumsum([len(x) // ID.itemsize for x in packed])))].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes of packed ids: the binary pieces, concatenated."""
+        return self._written(packed, self.bytes)
+
+    def decimals(self, packed: list[bytes]) -> list[bytes]:
+        """The decimal ids, joined by commas."""
+        return [x[:-1] for x in self._written(packed, self.decimal)]
+
+
 class Encoder:
     """Encodes whole texts in a worker from the piece files."""
 
     def __init__(self, files: PieceFiles, pattern: str):
-        self.files, self.find, self.cache = files, regex.compile(pattern).findall, {}
+        self.files, self.cutter = files, Cutter(pattern)
+        self.units: dict[str, bytes] = {}  # packed ids of " " + unit
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece."""
+        distinct = list(set(pieces))
+        known = dict(zip(distinct, self.files.find([p.encode() for p in distinct]) if distinct else (), strict=True))
+        return [known[p] for p in pieces]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts cut by the pattern."""
+        cut = [self.cutter.pieces(t) for t in texts]
+        ids = iter(self._ids([p for pieces in cut for p in pieces]))
+        return [b"".join([next(ids) for _ in pieces]) for pieces in cut]
+
+    def _further(self, units: list[str]) -> list[bytes]:
+        """Packed ids of ``" " + unit`` for each unit: side by side they are cut as each alone, and
+        every unit's first piece is the one that starts with the space."""
+        pieces = self.cutter.pieces(" " + " ".join(units))
+        ids = self._ids(pieces)
+        data, ends = b"".join(ids), [0, *accumulate(map(len, ids))]
+        starts = [ends[i] for i, p in enumerate(pieces) if p[0] == " "]
+        return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Decimal ids of each text, joined by commas."""
-        cache = self.cache
-        cut = [self.find(t) for t in texts]
-        found = [list(map(cache.get, pieces)) for pieces in cut]
+        """The packed ids of each text."""
+        cut = [self.cutter.units(t) for t in texts]
+        whole = [t if u is None else u[0] for t, u in zip(texts, cut, strict=True)]
+        units = self.units
+        found = [[] if u is None else list(map(units.get, u[1:])) for u in cut]
         holes = [i for i, x in enumerate(found) if None in x]
-        new = list({p for i in holes for p, x in zip(cut[i], found[i], strict=True) if x is None})
+        new = list({p for i in holes for p, x in zip(cut[i][1:], found[i], strict=True) if x is None})
         if new:
-            fresh = dict(zip(new, self.files.find([x.encode() for x in new]), strict=True))
+            fresh = dict(zip(new, self._further(new), strict=True))
             for i in holes:
-                found[i] = [fresh[p] if x is None else x for p, x in zip(cut[i], found[i], strict=True)]
-            if len(cache) + len(fresh) <= CACHED_PIECES:
-                cache.update(fresh)
-        return [b",".join(x) for x in found]
-
-
-def decode(ids: bytes, token: dict[bytes, bytes]) -> bytes:
-    """The bytes of comma-joined decimal ids; ``token`` maps a decimal id to its bytes."""
-    return b"".join(map(token.__getitem__, ids.split(b","))) if ids else b""
+                found[i] = [fresh[p] if x is None else x for p, x in zip(cut[i][1:], found[i], strict=True)]
+            if len(units) + len(fresh) <= CACHED_UNITS:
+                units.update(fresh)
+        return [b"".join([first, *rest]) for first, rest in zip(self._whole(whole), found, strict=True)]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -264,22 +369,22 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
     files = piece_files(piece_table(docs, ranks, pattern, text_col))
-    tokens = spark.sparkContext.broadcast({str(i).encode(): t for t, i in ranks.items()})
+    tokens = spark.sparkContext.broadcast(ranks)  # the tokenizer's fixed vocabulary
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     names = [c for c in docs.columns if c not in (*new, text_col)]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, token = Encoder(files, pattern), tokens.value
+        encoder, token = Encoder(files, pattern), Tokens(tokens.value)
         for b in slices(batches, "__text"):
             ids = encoder.encode([t or "" for t in b.column("__text").to_pylist()])
             columns = [
-                pa.array([x.count(b",") + 1 if x else 0 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(decode(x, token)).hexdigest() for x in ids], pa.string()),
+                pa.array([len(x) // ID.itemsize for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in token.decimals(ids)], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in token.decode(ids)], pa.string()),
             ]
             if with_ids:
-                columns.append(pa.array([np.array(x.split(b",") if x else [], dtype=np.int32) for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.array([np.frombuffer(x, ID).astype(np.int32) for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *columns], names=[*names, *new])
 
     given = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("__text"))
