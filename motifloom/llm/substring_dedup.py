@@ -142,7 +142,7 @@ def _pack(block: _Block, buckets: int) -> list[tuple]:
     lo, hi = w.starts[at[a]], w.ends[at[b] + k - 1]
     order = np.argsort(bucket, kind="stable")
     edges = np.append(np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))), len(order))
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=6)
     for x, y in zip(edges[:-1], edges[1:], strict=True):
         s = order[x:y]
         head = np.stack((block.ids[text[a[s]]], block.th[text[a[s]]], start[a[s]]), axis=1).astype("<i8").tobytes()
@@ -194,7 +194,7 @@ def heavy_slots(texts: DataFrame, core: int, share: float) -> np.ndarray:
     return total > max(1000, share * total.sum())
 
 
-def duplicate_ranges(texts: DataFrame, window: int = 20, core: int = 3, heavy_share: float = 1 / 2048) -> DataFrame:
+def duplicate_ranges(texts: DataFrame, window: int = 20, core: int = 2, heavy_share: float = 1 / 2048) -> DataFrame:
     """Marked word ranges of ``texts(id long, th long, text string)`` as rows (id, th, data),
     data holding pairs of little-endian 64-bit word positions (start, end)."""
     spark = texts.sparkSession
@@ -255,11 +255,20 @@ def _settle(blobs: list[bytes], k: int) -> list[tuple]:
     return [(None if ids[one[t]] == _NULL else int(ids[one[t]]), int(th[one[t]]), spans.tobytes()) for t, spans in _ranges(text, start[m], k)]
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one for the way to their ranges."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in slices(batches, "__text", 1 << 23):
+        small = [None if t is None else squeeze.compress(t) for t in binary(b.column("__text"))]
+        at = b.schema.get_field_index("__text")
+        yield b.set_column(at, pa.field("__text", pa.binary()), pa.array(small, pa.binary()))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept, n_words, n_removed = [], [], []
-        for t, ranges in zip(binary(b.column("__text")), b.column("__ranges").to_pylist(), strict=True):
-            words = (t or b"").split()
+        for t, ranges in zip(b.column("__text").to_pylist(), b.column("__ranges").to_pylist(), strict=True):
+            words = zstandard.decompress(t).split() if t else []
             gone = np.zeros(len(words) + 1, dtype=np.int64)
             for x in ranges or ():
                 spans = np.frombuffer(x, dtype="<i8").reshape(-1, 2)
@@ -280,7 +289,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 3) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, core: int = 2) -> DataFrame:
     """``docs`` with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``.
 
     The text column itself is not among the result's columns, and columns of those three names
@@ -296,7 +305,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__text").alias("text"))
     ranges = duplicate_ranges(texts, window, core).groupBy(F.col("id").alias("__rid"), F.col("th").alias("__rth")).agg(F.collect_list("data").alias("__ranges"))
-    met = keyed.join(ranges, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left").drop("__rid", "__rth", "__id", "__th")
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields} | {"__text": "binary"}
+    sent = keyed.mapInArrow(_small, ", ".join(f"`{c}` {kinds[c]}" for c in keyed.columns))
+    met = sent.join(ranges, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left").drop("__rid", "__rth", "__id", "__th")
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     out = [f"`{c}` {kinds[c]}" for c in met.columns if c not in ("__text", "__ranges")]
     return met.mapInArrow(_cut, ", ".join([*out, "kept_text string", "n_words long", "n_removed long"]))
