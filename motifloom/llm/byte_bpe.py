@@ -26,6 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from motifloom.llm._text import U64, slices, span_hashes
 BUCKETS = 1 << 16
 FOLD_BYTES = 48  # longer pieces are merged with a heap: the fold's time grows with the square
 TASK_PIECES = 300_000
-CACHED_UNITS = 350_000
+CACHED_UNITS = 450_000
 FILE_PIECES = 500_000
 _NONE = 2**31 - 1
 ID = np.dtype("<u4")
@@ -80,13 +81,17 @@ def fold_merges(piece: Column, literals: tuple[Column, Column]) -> Column:
 
         return F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), at)[0]
 
+    def pairs(codes: Column) -> Column:
+        """Ranks of neighbouring single bytes."""
+        n = F.size(codes) - 1
+        return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(literals[1], a * 256 + b))
+
     def fold(maps: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
-        code = lambda i: F.ascii(F.substring(piece, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.get(literals[1], code(i) * 256 + code(i + 1)))
+        start = lambda parts: F.transform(F.array(F.transform(parts, lambda x: F.ascii(x))), lambda codes: F.struct(parts.alias("p"), pairs(codes).alias("r")))[0]
+        begun = F.transform(F.array(F.split(piece, "")), start)[0]
         ended = F.aggregate(
             F.sequence(F.lit(1), F.length(piece) - 1),
-            F.struct(parts.alias("p"), pairs.alias("r")),
+            begun,
             lambda state, _: F.when((F.size(state["r"]) == 0) | (F.array_min(state["r"]) == _NONE), state).otherwise(merged(maps, state)),
         )
         whole = of(maps, piece)
@@ -211,12 +216,14 @@ class PieceFiles:
     def of(self, h: np.ndarray) -> np.ndarray:
         return (h >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
 
-    def write(self, n: int, pieces: list[bytes], ids: list[bytes]) -> None:
-        h = _hash_pieces(pieces)
-        order = np.lexsort((np.array(pieces, dtype=object), h)) if len(np.unique(h)) < len(h) else np.argsort(h)
-        pieces, ids = [pieces[i] for i in order], [ids[i] for i in order]
-        ends = np.cumsum([[len(x) for x in pieces], [len(x) for x in ids]], axis=1).astype("<i8")
-        put_file(self.path(n), np.array([len(h)], "<i8").tobytes() + h[order].astype("<u8").tobytes() + ends.tobytes() + b"".join(pieces) + b"".join(ids))
+    def write(self, n: int, pieces: pa.Array, ids: pa.Array) -> None:
+        """pieces: binary; ids: lists of 32-bit integers."""
+        h = _hash_pieces(pieces.to_pylist())
+        order = np.argsort(h, kind="stable")
+        pieces, ids = pieces.take(pa.array(order)), ids.take(pa.array(order))
+        ends = np.cumsum([pc.binary_length(pieces).to_numpy(), pc.list_value_length(ids).to_numpy() * ID.itemsize], axis=1, dtype="<i8")
+        data = b"".join(pieces.to_pylist()) + ids.flatten().to_numpy(zero_copy_only=False).astype(ID).tobytes()
+        put_file(self.path(n), np.array([len(h)], "<i8").tobytes() + h[order].astype("<u8").tobytes() + ends.tobytes() + data)
 
     def _file(self, n: int):
         if n not in self._open:
@@ -272,7 +279,7 @@ def piece_files(table: DataFrame) -> PieceFiles:
                 yield pa.RecordBatch.from_pydict({"n": pa.array(files.of(_hash_pieces(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary()), "ids": b.column("ids")})
 
     def write(key, rows):
-        files.write(key[0].as_py(), rows["piece"].to_pylist(), [np.array(x, ID).tobytes() for x in rows["ids"].to_pylist()])
+        files.write(key[0].as_py(), rows["piece"].combine_chunks(), rows["ids"].combine_chunks())
         return pa.table({"n": pa.array([key[0].as_py()], pa.int32())})
 
     table.mapInArrow(place, "n int, piece binary, ids array<int>").groupBy("n").applyInArrow(write, "n int").count()
