@@ -34,7 +34,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays."""
+    """Of each component of linked documents the one with the smallest id stays.
+
+    Rows are told apart by their id alone: rows that repeat a kept id stay with it, and rows
+    without an id stay if any of them is linked to no id.
+    """
     groups = jaccard_components(docs, size=5, percent=80)
     kept = groups.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)

@@ -45,3 +45,13 @@ def test_each_stage_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_odd_rows_and_empty_tables(spark, texts):
+    rows = [(i, t, None if n % 3 else "en", "s", None, 1) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() >= (0 if name in ("language_id", "quality_classifier") else 10)
+        assert name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.limit(0), SF).count() == 0
