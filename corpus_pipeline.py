@@ -7,10 +7,13 @@ the whole ``documents`` and ``labels`` tables of ``sf_dir``, as in the single qu
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifloom import importable
 from motifloom.llm._shared import shared_dir
 from motifloom.llm.jaccard_join import jaccard_components
 from motifloom.llm.langid import identify_language, learn_languages
@@ -21,6 +24,17 @@ from motifloom.llm.substring_dedup import substring_dedup
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _stage(f):
+    """A stage that also runs where the session was started elsewhere."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected: texts without a letter, and those whose language margin is too narrow."""
     languages = learn_languages(docs, F.lit(True))
@@ -58,11 +72,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("quality_classifier", quality_classifier),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("packing", packing),
+    ("language_id", _stage(language_id)),
+    ("quality_classifier", _stage(quality_classifier)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("repeated_passages", _stage(repeated_passages)),
+    ("packing", _stage(packing)),
 ]
 
 #: Compression, learnt scores and tokenisation have no SQL form; tests hold the stages against brute force.
