@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.functions.index import noise_fits, occurrences, relaxation, runs
+from motifloom.functions.index import EPS, noise_fits, occurrences, relaxation, runs
 
 
 def valid_intervals(cells: DataFrame, k: int, delta: float, c: int | None, labels: list[int] | None = None) -> DataFrame:
@@ -38,6 +38,30 @@ def pairs_of_chains(rows: DataFrame, k: int, delta: float) -> DataFrame:
     return chains.select("edge_id", "label", F.inline(F.flatten(F.transform("a", ends))))
 
 
+def valid_ranges(cells: DataFrame, k: int, delta: float, c: int | None) -> DataFrame:
+    """(edge_id, label, s, lo, hi): the valid ends of each start as maximal closed ranges.
+
+    A row per start and later run instead of one per start and end: within a run mismatches no
+    longer grow, so its valid ends are those from the first admissible one on, which is found by
+    arithmetic.
+    """
+    delta, c = relaxation(delta, c)
+    run = occurrences(cells, c).groupBy("edge_id", "label", "chain", "dif").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    chains = run.groupBy("edge_id", "label", "chain").agg(F.array_sort(F.collect_list(F.struct("a", "b", "dif"))).alias("r"))
+    starts = chains.select("edge_id", "label", "r", F.posexplode("r").alias("i", "own")).select("edge_id", "label", "r", "i", "own.dif", F.explode(F.sequence("own.a", "own.b")).alias("s"))
+
+    def part(x: Column) -> Column:
+        noise = x["dif"] - F.col("dif")
+        if delta == 0:
+            first = F.when(noise == 0, F.col("s")).otherwise(x["b"] + 1)
+        else:
+            first = F.col("s") - 1 + F.ceil((noise - EPS) / F.lit(float(delta))).cast("int")
+        return F.struct(F.greatest(x["a"], F.col("s") + k - 1, first).alias("lo"), x["b"].alias("hi"))
+
+    ranges = F.filter(F.transform(F.slice("r", F.col("i") + 1, F.size("r")), part), lambda x: x["lo"] <= x["hi"])
+    return starts.select("edge_id", "label", "s", F.inline(ranges))
+
+
 def exact_filter(cells: DataFrame, k: int) -> DataFrame:
     """(edge_id, label, s, run_start, max_e): edges constant on [s, s + k - 1], with their run."""
     return runs(cells).filter(F.col("run_end") - F.col("t") + 1 >= k).select("edge_id", "label", F.col("t").alias("s"), "run_start", F.col("run_end").alias("max_e"))

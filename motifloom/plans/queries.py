@@ -204,6 +204,20 @@ def valid_intervals(spark, sf_dir):
     return _ei(spark, sf_dir)
 
 
+def _islands(ei: str) -> str:
+    return f"{ei}, isle AS (SELECT edge_id, label, s, e, e - row_number() OVER (PARTITION BY edge_id, label, s ORDER BY e) AS g FROM ei) SELECT edge_id, label, s, min(e) AS lo, max(e) AS hi FROM isle GROUP BY edge_id, label, s, g"
+
+
+@query("valid_ranges", _islands(_EI))
+def valid_ranges(spark, sf_dir):
+    return intervals.valid_ranges(events(spark, sf_dir)[1], K, DELTA, C)
+
+
+@query("valid_ranges_trade", _islands(oracle.intervals(T2, 10, 0.15, 2)))
+def valid_ranges_trade(spark, sf_dir):
+    return intervals.valid_ranges(trade(spark, sf_dir)[1], 10, 0.15, 2)
+
+
 @query("valid_intervals_trade", f"{oracle.intervals(T2, 10, DELTA, 2)} SELECT edge_id, label, s, e, noise FROM ei")
 def valid_intervals_trade(spark, sf_dir):
     return intervals.valid_intervals(trade(spark, sf_dir)[1], 10, DELTA, 2)

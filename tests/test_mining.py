@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions.index import occurrences, run_bounds
 from motifloom.operators import analysis, connectivity, report
-from motifloom.operators.intervals import tabu_ends, tabu_ranges, valid_intervals, valid_intervals_split
+from motifloom.operators.intervals import tabu_ends, tabu_ranges, valid_intervals, valid_intervals_split, valid_ranges
 from motifloom.operators.mine import mine_many, mine_prefix, motif_members, update
 from motifloom.sources.edge_list import read_motifs
 from tests.graphs import T1, T2, T3, brute, found, frames, valid
@@ -54,6 +54,15 @@ def test_split_intervals_are_the_same(spark):
         assert a == b
 
 
+@pytest.mark.parametrize(("delta", "c"), [(0.1, 2), (0.25, 1), (0.4, None), (0, 0)])
+def test_ranges_hold_the_valid_ends(spark, delta, c):
+    _, cells = frames(spark, graph_of(13, t=15))
+    a = {tuple(r) for r in valid_intervals(cells, 2, delta, c).select("edge_id", "label", "s", "e").collect()}
+    rows = valid_ranges(cells, 2, delta, c).collect()
+    b = [(r["edge_id"], r["label"], r["s"], e) for r in rows for e in range(r["lo"], r["hi"] + 1)]
+    assert set(b) == a and len(b) == len(a) >= len(rows)
+
+
 def test_components_by_stars_are_the_same(spark):
     edges, cells = frames(spark, graph_of(11, nodes=9, n_edges=9))
     ei = valid_intervals(cells, 2, 0.3, 1)
