@@ -6,6 +6,7 @@ these six bytes and ``bytes.lower()`` changes A-Z only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -139,8 +140,18 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again by later tasks, and an executor
+    holds several of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches of about ``size`` bytes of ``column``."""
+    """The same rows in smaller batches of about ``size`` bytes of ``column``; frees memory at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -154,3 +165,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21)
             to = max(at + 1, int(np.searchsorted(total, before + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()

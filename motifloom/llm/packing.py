@@ -26,7 +26,7 @@ from motifloom.llm._text import binary, slices
 
 PARTITION_PIECES = 60_000
 FAN_IN = 16
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import shuffle_partitions
-from motifloom.llm._text import U64, Words, binary, mix, runs_hash, sliding_min, slices, words_of
+from motifloom.llm._text import U64, Words, binary, mix, release, runs_hash, sliding_min, slices, words_of
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SLOT_BITS = 16
 _NULL = np.iinfo(np.int64).max
 
@@ -223,6 +223,7 @@ def duplicate_ranges(texts: DataFrame, window: int = 20, core: int = 2, heavy_sh
             rows = _settle(held.pop(k), window)
             for at in range(0, len(rows), 10_000):
                 yield _batch(rows[at : at + 10_000], _RANGES_ARROW)
+        release()
 
     packed = texts.select("id", "th", "text").mapInArrow(pack, _PACKED)
     return packed.repartition("bucket").mapInArrow(settle, "id long, th long, data binary")
