@@ -26,7 +26,8 @@ from motifloom.llm._text import binary, slices
 
 PARTITION_PIECES = 60_000
 FAN_IN = 16
-CACHED_WORDS = 500_000
+CACHED_WORDS = 750_000
+MARK = b"\x01"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -45,6 +46,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -53,6 +55,21 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: many words in one string, with a word between them that none contains."""
+        out: dict[bytes, bytes] = {}
+        plain = [w for w in words if MARK not in w]
+        lines = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        between = f" {MARK.decode()} "
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([between.join([w.decode() for w in x]) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            out.update((w, data[a:b]) for w, a, b in zip(line, [0, *(x + 4 for x in cuts)], [*cuts, len(data)], strict=True))
+        odd = [w for w in words if MARK in w]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            out[w] = array("I", e.ids).tobytes()
+        return [out[w] for w in words]
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
@@ -61,8 +78,7 @@ class WordEncoder:
         holes = [i for i, ids in enumerate(found) if None in ids]
         new = list({w for i in holes for w, x in zip(split[i], found[i], strict=True) if x is None})
         if new:
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, done, strict=True)}
+            fresh = dict(zip(new, self._words(new), strict=True))
             for i in holes:
                 found[i] = [fresh[w] if x is None else x for w, x in zip(split[i], found[i], strict=True)]
             if len(known) + len(fresh) <= CACHED_WORDS:

@@ -36,6 +36,12 @@ def test_documents(make_docs, texts):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(expected)
 
 
+def test_words_with_the_mark():
+    encoder, plain = module.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    words = [b"a", b"\x01", b"x\x01", b"\x01y", b"caf\xc3\xa9!!", *(f"w{i}###".encode() for i in range(250))]
+    assert encoder._words(words) == [np.array(plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
 def test_exchange_reaches_the_bound(spark, monkeypatch):
     """Many partitions, each with a gap: after the exchange few sequences over the bound are left."""
     monkeypatch.setattr(module, "PARTITION_PIECES", 40)
