@@ -4,8 +4,9 @@ Vectors are dealt to inverted lists by a coarse quantiser.  The residual is code
 two components with 16 codewords, four bits each.  Codes and codebooks minimise the
 anisotropic loss: the error parallel to the vector, which changes large inner products, counts
 ``eta`` times as much as the error across it.  A query scans the codes of its nearest lists with
-one table of 16 partial products a subspace; the best of each block are ranked again by their
-exact inner products.
+one table of 16 partial products a subspace.  The length of each row's coding error is stored: it
+bounds how far the estimate is from the inner product, and every row of a block that the bound leaves
+among the best is ranked again by its exact inner product, however many these are.
 
 The quantisers are fitted on a bounded sample (SAMPLE vectors by a hash of the id, LISTS lists at
 most), and the number of lists to probe is the least with which queries from the sample find a share
@@ -30,7 +31,6 @@ SAMPLE = 20_000
 LISTS = 1024
 BLOCK = 4096
 LIST_ROWS = 2048
-RERANK = 120
 AIM = 0.97
 
 
@@ -52,6 +52,13 @@ class Quantiser:
         r, unit = self.padded(x - self.centroids[lists]), self.padded(x / np.linalg.norm(x, axis=1, keepdims=True))
         return _codes(r, unit, self.books, self.eta, None, sweeps)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of the coding errors, with room for rounding: an inner product with q differs from
+        its estimate by |q| times this at most."""
+        near, coded = self.centroids[lists], self.books[np.arange(len(self.books)), codes].reshape(len(x), -1)
+        size = lambda v: np.linalg.norm(v, axis=1)
+        return size(self.padded(x - near) - coded) + 1e-11 * (size(x) + size(near) + size(coded))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x subspaces x 16: inner products with every codeword."""
         return np.einsum("qmd,mcd->qmc", self.padded(q).reshape(len(q), len(self.books), 2), self.books)
@@ -184,13 +191,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
             if b.num_rows:
                 x = _matrix(b.column("v"), dim)
                 own = shared.value.lists(x)
-                codes = shared.value.encode(x, own).astype(np.uint8)
+                codes = shared.value.encode(x, own)
+                err, codes = shared.value.errors(x, own, codes), codes.astype(np.uint8)
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, ::2] | (codes[:, 1::2] << 4)
-                yield pa.RecordBatch.from_pydict({"list": pa.array(own, pa.int32()), "vec_id": b.column("vec_id"), "codes": pa.array([c.tobytes() for c in packed], pa.binary()), "v": b.column("v"), "q": b.column("q")})
+                yield pa.RecordBatch.from_pydict({"list": pa.array(own, pa.int32()), "vec_id": b.column("vec_id"), "codes": pa.array([c.tobytes() for c in packed], pa.binary()), "err": pa.array(err), "v": b.column("v"), "q": b.column("q")})
 
-    table = stored(rows.mapInArrow(index, "list int, vec_id long, codes binary, v array<double>, q boolean"), "index")
+    table = stored(rows.mapInArrow(index, "list int, vec_id long, codes binary, err double, v array<double>, q boolean"), "index")
     counts = {r["list"]: r["n"] for r in table.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS numbers at most
     blocks = np.array([-(-counts.get(i, 0) // BLOCK) for i in range(lists)])
     block_of = F.pmod(F.xxhash64("vec_id", "codes"), F.element_at(F.lit([max(1, int(b)) for b in blocks]), F.col("list") + 1)).cast("int")
@@ -227,15 +235,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
             asks, qid, least = _matrix(queries["v"].combine_chunks(), dim), queries["query_id"].to_numpy(), queries["least"].to_numpy()
             few = queries["few"].to_numpy()
             tables = q.tables(asks).reshape(len(asks), -1)
+            base, size = asks @ q.centroids[rows_here["list"][0].as_py()], np.linalg.norm(asks, axis=1)
+            err = rows_here["err"].to_numpy()
             for n in range(len(asks)):
-                rough = tables[n][flat[0]].copy()
+                rough = tables[n][flat[0]] + base[n]
                 for j in range(1, m):
                     rough += tables[n][flat[j]]
                 rough[ids == qid[n]] = -np.inf
-                # candidates of equal estimates by the smaller id
-                best = np.lexsort((ids, -rough))[: max(RERANK, k)] if len(ids) <= RERANK else _top(rough, ids, max(RERANK, k))
-                best = best[rough[best] > -np.inf]
-                score = (x[best] * asks[n]).sum(axis=1)
+                best = _within(rough, size[n] * err, k, few[n], least[n])
+                best = best[ids[best] != qid[n]]
+                # a copy of most of the block costs more than products with all of it
+                score = (x * asks[n]).sum(axis=1)[best] if 2 * len(best) > len(ids) else (x[best] * asks[n]).sum(axis=1)
                 keep = np.lexsort((ids[best], -score))[:k]
                 keep = keep[(score[keep] >= least[n]) | (np.arange(len(keep)) < few[n])]
                 out[0].append(np.full(len(keep), qid[n]))
@@ -244,14 +254,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
         columns = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    listed = table.select("list", block_of.alias("block"), "vec_id", "codes", "v")
+    listed = table.select("list", block_of.alias("block"), "vec_id", "codes", "err", "v")
     found = listed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top(rough: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """The n largest, ties at the border by the smaller id."""
-    border = np.partition(rough, len(rough) - n)[len(rough) - n]
-    sure, level = np.flatnonzero(rough > border), np.flatnonzero(rough == border)
-    return np.concatenate((sure, level[np.argsort(ids[level], kind="stable")][: n - len(sure)]))
+def _within(rough: np.ndarray, slack: np.ndarray, k: int, few: int, least: float) -> np.ndarray:
+    """All rows that can be among the k best and reach ``least``, or among the ``few`` best, where the
+    true values are within ``slack`` of ``rough``."""
+    low = np.sort(rough - slack) if len(rough) <= k else np.sort(np.partition(rough - slack, len(rough) - k)[-k:])
+    best = lambda n: low[-n] if n <= len(low) else -np.inf
+    return np.flatnonzero(rough + slack >= min(best(min(few, k)), max(best(k), least)))

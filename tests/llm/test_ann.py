@@ -49,3 +49,13 @@ def test_nothing_usable(spark):
     assert nearest(frame(spark, [(1, None), (2, [0, 0])]), F.lit(True)).count() == 0
     assert nearest(frame(spark, []), F.lit(True)).count() == 0
     assert nearest(frame(spark, [(1, [1, 2])]), F.lit(True)).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4500, 24))
+    x[1000:] = x[1000] + 1e-3 * rng.normal(size=(3500, 24))
+    rows = list(enumerate(x.tolist()))
+    got = nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, probes=2).collect()
+    true = exact(rows, lambda i: i % 50 == 0, 20)
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [(q, i) for q, found in sorted(true.items()) for i, _ in found]
