@@ -162,8 +162,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
     components, take no part; nor do those that differ in length from most of the sample.
     Rows that share a query's id are its own row; repeated rows of another id are candidates
-    each.  Fewer candidates than k are all returned where all lists are probed, as they are
-    when there are few.  Without usable rows the result is empty.
+    each.  A query whose ``probes`` lists hold fewer than k candidates probes more, so all its
+    ranks are filled; fewer candidates than k in all are all returned.  Without usable rows
+    the result is empty.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -203,23 +204,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | Non
     blocks = np.array([-(-counts.get(i, 0) // BLOCK) for i in range(lists)])
     block_of = F.pmod(F.xxhash64("vec_id", "codes"), F.element_at(F.lit([max(1, int(b)) for b in blocks]), F.col("list") + 1)).cast("int")
 
+    # by list and n = 1..k: rows that its blocks give if each gives n at most
+    held = table.groupBy("list", block_of.alias("block")).agg(F.count("*").alias("n"))
+    gives = np.zeros((lists, k))
+    for r in held.select("list", *(F.least("n", F.lit(i + 1)).alias(f"n{i}") for i in range(k))).groupBy("list").agg(*(F.sum(f"n{i}") for i in range(k))).collect():
+        gives[r[0]] = r[1:]
+    rows_of = np.array([counts.get(i, 0) for i in range(lists)])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy()
             near = x @ shared.value.centroids.T
-            chosen = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            chosen, own = np.argsort(-near, axis=1, kind="stable"), b.column("own").to_numpy()
+            # lists until k rows of other ids are met, whatever share of the lists' rows has the query's id
+            reach = np.maximum(probes, 1 + (np.cumsum(rows_of[chosen], axis=1) < (k + own)[:, None]).sum(axis=1))
+            taken = np.arange(lists) < reach[:, None]
             # twice k known candidates: enough are left where the scan misses some
             least = np.concatenate([kth_score(x[a : a + 256], ids[a : a + 256], *seen.value, 2 * k) for a in range(0, len(x), 256)])
             # and each part gives a few in any case, so that every query fills its ranks
-            few = np.ceil(2 * k / np.maximum(1, blocks[chosen].sum(axis=1))).astype(np.int32)
-            i, j, n = np.repeat(np.arange(len(x)), probes), chosen.ravel(), blocks[chosen.ravel()]
-            i, j, n = np.repeat(i, n), np.repeat(j, n), n
+            probed = np.zeros((len(x), lists))
+            np.put_along_axis(probed, chosen, taken, axis=1)
+            few = np.minimum(k, 1 + (probed @ gives < (2 * k + own)[:, None]).sum(axis=1)).astype(np.int32)
+            i, j = np.nonzero(taken)[0], chosen[taken]
+            n = blocks[j]
+            i, j = np.repeat(i, n), np.repeat(j, n)
             part = np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
             yield pa.RecordBatch.from_pydict({"list": pa.array(j, pa.int32()), "block": pa.array(part, pa.int32()), "query_id": b.column("vec_id").take(pa.array(i)), "v": b.column("v").take(pa.array(i)), "least": pa.array(least[i]), "few": pa.array(few[i])})
 
-    asked = table.filter("q").select("vec_id", "v").mapInArrow(probe, "list int, block int, query_id long, v array<double>, least double, few int")
+    shares = table.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = table.filter("q").select("vec_id", "v").join(shares, "vec_id").select("vec_id", "v", "own").mapInArrow(probe, "list int, block int, query_id long, v array<double>, least double, few int")
 
     def scan(rows_here, queries):
         out = [], [], []

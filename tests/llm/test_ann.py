@@ -59,3 +59,17 @@ def test_large_group_of_near_copies(spark):
     got = nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, probes=2).collect()
     true = exact(rows, lambda i: i % 50 == 0, 20)
     assert [(r["query_id"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [(q, i) for q, found in sorted(true.items()) for i, _ in found]
+
+
+def test_small_lists_fill_all_ranks(spark):
+    rng = np.random.default_rng(6)
+    # outliers with a list each, met first by queries near them
+    x = np.concatenate((rng.normal(size=(9000, 8)), 1000 * np.eye(8)[:3]))
+    rows = [*enumerate(x.tolist()), *((9001, v) for v in x[:30].tolist())]
+    got = nearest(frame(spark, rows), (F.col("vec_id") % 100 == 0) | (F.col("vec_id") == 9002), probes=1).collect()
+    ranks = {}
+    for r in got:
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+        assert r["vec_id"] != r["query_id"]
+    assert set(ranks) == {*range(0, 9001, 100), 9000, 9002}
+    assert all(sorted(v) == list(range(1, 21)) for v in ranks.values())
