@@ -15,6 +15,9 @@ if shorter).  Two documents link when |A n B| / |A u B| >= threshold.
 4. Only pairs that are still in different components can change the result: all of these that
    share enough prefix shingles are verified as well.  So no link between components is lost,
    and a large group of near copies costs about its size, not its square.
+
+That finds components only.  ``jaccard_link_counts`` verifies every candidate pair instead, so
+its cost grows with the number of links.
 """
 
 from __future__ import annotations
@@ -271,9 +274,9 @@ def _cross(num: int, den: int):
                 if len(j):
                     out.append(np.stack((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(matches[i], matches[j])), axis=1))
                     waiting += len(j)
-            if waiting > 1_000_000:
-                yield _counted(out)
-                out, waiting = [], 0
+                if waiting > 1_000_000:
+                    yield _counted(out)
+                    out, waiting = [], 0
         if out:
             yield _counted(out)
 
@@ -349,17 +352,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
     return met.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
-
-    component_id is the smallest id reachable by links, the row's own included.  Null, empty
-    and white-space texts have 0 shingles and are alone.  Rows with a null id take part; their
-    component_id is the smallest non-null id they reach, else null.  Repeated rows are copies
-    of one another.  Empty input gives no rows.
-    """
-    spark = docs.sparkSession
-    num, den = percent, 100
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _met(own: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n) of every row, and the lists (_LIST) in which classes meet."""
+    spark = own.sparkSession
     profile = stored(own.mapInArrow(_profile(size), "doc_id long, cls long, n long, chunk int, data binary"), "profile")
     rows = profile.filter("chunk is null").select("doc_id", "cls", "n")
 
@@ -372,6 +367,26 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     packed = own.select("text").mapInArrow(_prefix_rows(size, num, den, 4 * shuffle_partitions(spark), level_data, common), "bucket int, data binary")
     lists = stored(packed.repartition("bucket").mapInArrow(_lists(num, den), _LIST), "lists")
+    return rows, lists
+
+
+def _candidates(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of list members with different roots that share enough prefix shingles."""
+    crossing = placed.repartition("token").mapInArrow(_cross(num, den), "a long, b long, need long, hits long")
+    return crossing.groupBy("a", "b", "need").agg(F.sum("hits").alias("hits")).filter("hits >= need").select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    component_id is the smallest id reachable by links, the row's own included.  Null, empty
+    and white-space texts have 0 shingles and are alone.  Rows with a null id take part; their
+    component_id is the smallest non-null id they reach, else null.  Repeated rows are copies
+    of one another.  Empty input gives no rows.
+    """
+    num, den = percent, 100
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows, lists = _met(own, size, num, den)
     members = lists.filter("other is null").select("token", "cls", "info")
     first = lists.filter("other is not null").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
     first = stored(first, "pairs")
@@ -380,8 +395,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     roots = stored(connected_components(links), "roots")
 
     placed = members.join(roots.toDF("cls", "root"), "cls", "left").select("token", "cls", "info", F.coalesce("root", "cls").alias("root"))
-    crossing = placed.repartition("token").mapInArrow(_cross(num, den), "a long, b long, need long, hits long")
-    second = crossing.groupBy("a", "b", "need").agg(F.sum("hits").alias("hits")).filter("hits >= need").select("a", "b").join(first, ["a", "b"], "left_anti")
+    second = _candidates(placed, num, den).join(first, ["a", "b"], "left_anti")
     more = stored(_verify(second, texts, size, num, den), "links")
     if not more.isEmpty():
         # links between components: the old stars and the new links together
@@ -390,3 +404,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     grouped = rows.join(roots.toDF("cls", "root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
     smallest = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return grouped.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def jaccard_link_counts(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, n_links) for every row of ``docs``: the number of other rows that it
+    links to, copies included.
+
+    Every pair of classes with enough shared prefix shingles is verified.  Null, empty and
+    white-space texts link to nothing.  Rows count, not ids.
+    """
+    num, den = percent, 100
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows, lists = _met(own, size, num, den)
+    members = lists.filter("other is null").select("token", "cls", "info")
+    pairs = stored(_candidates(members.withColumn("root", F.col("cls")), num, den), "pairs")
+    texts = _texts_of(own, size, members.select("cls").distinct())
+    links = stored(_verify(pairs, texts, size, num, den), "links")
+    copies = rows.filter("n > 0").groupBy("cls").agg(F.count("*").alias("copies"))
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.toDF("b", "other"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("other").alias("others"))
+    counts = copies.join(others, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    met = rows.join(counts.toDF("counted", "links"), (F.col("cls") == F.col("counted")) & (F.col("n") > 0), "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from motifloom.llm import jaccard_join as module
 from motifloom.llm.components import connected_components
-from motifloom.llm.jaccard_join import jaccard_components, may_link, ordered_prefix
+from motifloom.llm.jaccard_join import jaccard_components, jaccard_link_counts, may_link, ordered_prefix
 from tests.llm.conftest import words
 
 
@@ -91,3 +91,22 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{i: -4 for i in (10, 11, 12, 13, 14, -4)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_link_counts(make_docs, texts):
+    rng = random.Random(8)
+    base = words(rng, 60).split()
+    rows = list(texts)
+    for i in range(40):
+        # near copies in one component, of which only some pairs link
+        own = list(base)
+        for p in rng.sample(range(60), rng.randrange(3)):
+            own[p] = f"x{i}"
+        rows.append((200 + i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    link = lambda a, b: 100 * len(a & b) >= 80 * len(a | b) and bool(a & b)
+    expected = sorted((i is None, i or 0, len(a), sum(link(a, b) for m, b in enumerate(sets) if m != n)) for n, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))
+    got = jaccard_link_counts(make_docs(rows, extra=True)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in got) == expected
+    assert len({n for _, i, _, n in expected if i >= 200}) > 3
+    assert jaccard_link_counts(make_docs([])).count() == 0
