@@ -1,12 +1,12 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, cut from whole training texts.  A text is
+Each language has a raw-content zstandard dictionary, cut from the beginnings of training texts.  A text is
 compressed with every dictionary, in chunks, and the language whose dictionary makes it
 smallest wins.  A narrow margin between the two smallest is a rejection.
 
 The dictionaries are learnt from a bounded sample of labelled rows: per language at most
 ``dictionary_bytes`` bytes of text, taken in the order of a hash of the text, with at most
-``text_share`` of it from one text.  Everything else covers whole texts.
+``text_share`` of it, so many characters from the start, from one text.  Predictions cover whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from motifloom.llm._text import slices
 
 CHUNK = 2048
 SHORT = 256
-SAMPLE_ROWS = 400  # rows fetched per language, at most
+SAMPLE_ROWS = 400  # different texts fetched per language, at most
 LETTER = r"\p{L}"
 
 
@@ -75,26 +75,35 @@ def learn_languages(docs: DataFrame, train: Column, dictionary_bytes: int = 96 <
     """Dictionaries of all languages found in the rows where ``train`` holds.
 
     Rows without a language, a text or a letter teach nothing.  Texts are drawn evenly by a
-    hash of their content (SAMPLE_ROWS a language, or all if fewer); equal texts count once.
+    hash of their content (SAMPLE_ROWS a language, or all if fewer); texts whose used part is
+    equal, but for case and layout, count once.
     """
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     usable = docs.filter(train & lang.isNotNull() & text.rlike(LETTER)).select(lang.alias("lang"), text.alias("text"))
     rank = F.xxhash64("text", F.lit(7))
     cut = F.substring("text", 1, int(dictionary_bytes * text_share))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    names = sorted(counts, key=lambda n: (-counts[n], n))
+    hashed = usable.groupBy("lang", rank.alias("k")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: (r["n"], r["texts"]) for r in hashed.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    names = sorted(counts, key=lambda n: (-counts[n][0], n))
+    spelt = F.trim(F.lower(F.regexp_replace("t", r"[ \t\n\x0B\f\r]+", " ")))
     out = []
     for name in names:
-        # an even share of the hash range that holds about twice as many rows as are needed
-        bound = min(2**63 - 1, int(-(2**63) + min(1.0, 2 * SAMPLE_ROWS / counts[name]) * 2**64))
-        part = usable.filter((F.col("lang") == name) & (rank <= F.lit(bound)))
-        rows = part.select(rank.alias("k"), cut.alias("t")).orderBy("k", "t").limit(SAMPLE_ROWS).collect()
-        size, parts = 0, []
-        for x in dict.fromkeys(plain(r["t"]) for r in rows):
-            if size >= dictionary_bytes:
+        # an even share of the hash range that holds about twice as many texts as are needed
+        share = min(1.0, 2 * SAMPLE_ROWS / counts[name][1])
+        while True:
+            bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+            part = usable.filter((F.col("lang") == name) & (rank <= F.lit(bound))).select(rank.alias("k"), cut.alias("t"))
+            first = part.groupBy(spelt.alias("spelt")).agg(F.min(F.struct("k", "t")).alias("x"))
+            rows = first.select("x.k", "x.t").orderBy("k", "t").limit(SAMPLE_ROWS).collect()
+            size, parts = 0, []
+            for x in dict.fromkeys(plain(r["t"]) for r in rows):
+                if size >= dictionary_bytes:
+                    break
+                parts.append(x[: dictionary_bytes - size])
+                size += len(parts[-1]) + 1
+            if size >= dictionary_bytes or len(rows) == SAMPLE_ROWS or share == 1.0:
                 break
-            parts.append(x[: dictionary_bytes - size])
-            size += len(parts[-1]) + 1
+            share = min(1.0, 4 * share)  # many of these begin alike
         out.append(b" ".join(parts))
     return Languages(names, out)
 

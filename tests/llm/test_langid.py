@@ -41,3 +41,11 @@ def test_nothing_learnt(make_docs):
     docs = make_docs([(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))
     model = learn_languages(docs, F.lit(True))
     assert identify_language(docs, model).first()["lang_pred"] == "und"
+
+
+def test_copies_of_an_early_text_leave_the_dictionary_whole(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    early = docs.filter("lang = 'en'").orderBy(F.xxhash64("text", F.lit(7))).first()["text"]
+    copies = spark.createDataFrame([(1000 + i, early, "en") for i in range(450)], "doc_id long, text string, lang string")
+    model, more = learn_languages(docs, F.lit(True)), learn_languages(docs.unionAll(copies), F.lit(True))
+    assert dict(zip(more.names, more.dictionaries, strict=True)) == dict(zip(model.names, model.dictionaries, strict=True))
