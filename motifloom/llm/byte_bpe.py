@@ -21,8 +21,8 @@ import mmap
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from motifloom.llm._text import U64, slices, span_hashes
 BUCKETS = 1 << 16
 FOLD_BYTES = 48  # longer pieces are merged with a heap: the fold's time grows with the square
 TASK_PIECES = 300_000
-CACHED_UNITS = 450_000
+CACHED_UNITS = 1_000_000
 FILE_PIECES = 500_000
 _NONE = 2**31 - 1
 ID = np.dtype("<u4")
@@ -137,14 +137,26 @@ class Cutter:
         self.pieces = regex.compile(pattern).findall
         self._odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
-    def units(self, text: str) -> list[str] | None:
-        """The units, or None if the text has to be cut as a whole."""
+    def spaced(self, text: str) -> bool:
+        """Whether ``text.split(" ")`` gives units; if not, the text has to be cut as a whole."""
         if text[:1].isspace() or text[-1:].isspace() or "  " in text:
-            return None
+            return False
         for x in "\n\t\r\x0b\x0c":
             if x in text and (x + " " in text or " " + x in text):
-                return None
-        return None if self._odd(text) else text.split(" ")
+                return False
+        return not self._odd(text)
+
+    def units(self, text: str) -> list[str] | None:
+        """The units, or None if the text has to be cut as a whole."""
+        return text.split(" ") if self.spaced(text) else None
+
+
+def _at_spaces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that can be cut at their spaces: (all bytes, units' starts, their ends, units of each)."""
+    raw = b" ".join(texts) + b" "
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return raw, starts, ends, np.diff(np.searchsorted(ends, np.cumsum([len(x) + 1 for x in texts]) - 1), prepend=-1)
 
 
 def _distinct_pieces(pattern: str):
@@ -226,38 +238,72 @@ class PieceFiles:
         put_file(self.path(n), np.array([len(h)], "<i8").tobytes() + h[order].astype("<u8").tobytes() + ends.tobytes() + data)
 
     def _file(self, n: int):
+        """(hashes, piece bounds, id bounds, pieces, ids) of one file, mapped into memory."""
         if n not in self._open:
             with open(local_copy(self.path(n)), "rb") as f:
                 m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
             k = int(np.frombuffer(m, "<i8", 1)[0])
-            self._open[n] = np.frombuffer(m, "<u8", k, 8), np.frombuffer(m, "<i8", 2 * k, 8 + 8 * k).reshape(2, k), m
+            bounds = np.zeros((2, k + 1), np.int64)
+            bounds[:, 1:] = np.frombuffer(m, "<i8", 2 * k, 8 + 8 * k).reshape(2, k)
+            at = 8 + 24 * k + int(bounds[0, -1])
+            ids = np.frombuffer(m, ID, int(bounds[1, -1]) // ID.itemsize, at)
+            self._open[n] = np.frombuffer(m, "<u8", k, 8), bounds[0], bounds[1] // ID.itemsize, np.frombuffer(m, np.uint8, int(bounds[0, -1]), 8 + 24 * k), ids
         return self._open[n]
 
-    def find(self, pieces: list[bytes]) -> list[bytes]:
-        """The packed ids of known pieces; equal hashes are told apart by the bytes."""
-        out: list[bytes] = [b""] * len(pieces)
-        hashes = _hash_pieces(pieces)
-        where = self.of(hashes)
-        order = np.argsort(hashes)
-        for n, mine in zip(*_grouped(where[order], order), strict=True):
-            h, ends, data = self._file(n)
-            at = np.minimum(np.searchsorted(h, hashes[mine]), len(h) - 1)
-            base = 8 + 24 * len(h)
-            first = base + int(ends[0, -1])
-            lo, hi = (base + np.where(at > 0, ends[0, at - 1], 0)).tolist(), (base + ends[0, at]).tolist()
-            lo_ids, hi_ids = (first + np.where(at > 0, ends[1, at - 1], 0)).tolist(), (first + ends[1, at]).tolist()
-            for i, a, b, c, d, place in zip(mine.tolist(), lo, hi, lo_ids, hi_ids, at.tolist(), strict=True):
-                piece = pieces[i]
-                if data[a:b] == piece:
-                    out[i] = data[c:d]
-                    continue
-                while data[a:b] != piece:  # another piece of the same hash
-                    place += 1
-                    if place >= len(h) or h[place] != hashes[i]:
-                        raise KeyError(piece)
-                    a, b = base + int(ends[0, place - 1]), base + int(ends[0, place])
-                out[i] = data[first + int(ends[1, place - 1]) : first + int(ends[1, place])]
-        return out
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each) of known pieces data[start:end].
+
+        Equal hashes are told apart by the bytes.
+        """
+        hashes = span_hashes(data, starts, ends)
+        distinct, back = np.unique(hashes, return_inverse=True)
+        place = np.zeros(len(distinct), np.int64)
+        groups = [(n, mine) for n, mine in zip(*_grouped(self.of(distinct), np.arange(len(distinct))), strict=True)] if len(distinct) else []
+        for n, mine in groups:
+            place[mine] = np.searchsorted(self._file(n)[0], distinct[mine])
+        place, number = place[back], self.of(hashes)
+        size, first = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for n, _ in groups:
+            h, bounds, id_bounds, pieces, _ids = self._file(n)
+            mine = np.flatnonzero(number == n)
+            at = np.minimum(place[mine], len(h) - 1)
+            for i in np.flatnonzero(~_same(data, starts[mine], ends[mine], pieces, bounds[at], bounds[at + 1])).tolist():
+                j, k = mine[i], int(at[i])
+                piece = data[starts[j] : ends[j]].tobytes()
+                while k < len(h) and h[k] == hashes[j] and pieces[bounds[k] : bounds[k + 1]].tobytes() != piece:
+                    k += 1  # another piece of the same hash
+                if k == len(h) or h[k] != hashes[j]:
+                    raise KeyError(piece)
+                at[i] = k
+            first[mine], size[mine] = id_bounds[at], id_bounds[at + 1] - id_bounds[at]
+        out = np.empty(int(size.sum()), ID)
+        to = np.cumsum(size) - size
+        for n, _ in groups:
+            mine = number == n
+            out[ragged(to[mine], size[mine])] = self._file(n)[4][ragged(first[mine], size[mine])]
+        return out, size
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each span, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``sizes`` values."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def _same(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether a[from:to] and b[from:to] are equal, for many spans at once."""
+    size = a_to - a_from
+    out = size == b_to - b_from
+    size = size[out]
+    out[out] = _sums(a[ragged(a_from[out], size)] != b[ragged(b_from[out], size)], size) == 0
+    return out
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -286,6 +332,22 @@ def piece_files(table: DataFrame) -> PieceFiles:
     return files
 
 
+@dataclass
+class Results:
+    """Of encoded spans: numbers of ids, decimal ids with a comma after each, decoded bytes, each
+    span after the other, with sizes."""
+
+    counts: np.ndarray
+    decimal: np.ndarray
+    decimal_size: np.ndarray
+    decoded: np.ndarray
+    decoded_size: np.ndarray
+
+    def texts(self, data: np.ndarray, size: np.ndarray) -> list[bytes]:
+        out, ends = data.tobytes(), [0, *np.cumsum(size).tolist()]
+        return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Tokens:
     """The tokens' bytes and decimal ids as arrays, to write many ids at once."""
 
@@ -302,68 +364,168 @@ class Tokens:
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
     @staticmethod
-    def _written(packed: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
-        """The entries of each text's ids, one after another."""
+    def _written(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(the entries of the ids, one after another; the size of each)"""
         data, start, size = table
-        ids = np.frombuffer(b"".join(packed), ID).astype(np.int64)
-        ends = np.concatenate(([0], np.cumsum(size[ids])))
-        places = np.arange(ends[-1]) + np.repeat(start[ids] - ends[:-1], size[ids])
-        out = data[places].tobytes()
-        bounds = ends[np.concatenate(([0], np.cumsum([len(x) // ID.itemsize for x in packed])))].tolist()
-        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        ids = ids.astype(np.int64)
+        return data[ragged(start[ids], size[ids])], size[ids]
+
+    def results(self, ids: np.ndarray, counts: np.ndarray) -> Results:
+        """Of spans with so many ids each: decimal ids and decoded bytes (the binary pieces, concatenated)."""
+        decimal, each = self._written(ids, self.decimal)
+        decoded, own = self._written(ids, self.bytes)
+        return Results(counts, decimal, _sums(each, counts), decoded, _sums(own, counts))
+
+
+class Grown:
+    """Spans of bytes, one after another, to which others are added."""
+
+    def __init__(self):
+        self.data, self.used = np.empty(1 << 16, np.uint8), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def decode(self, packed: list[bytes]) -> list[bytes]:
-        """The bytes of packed ids: the binary pieces, concatenated."""
-        return self._written(packed, self.bytes)
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(data) > len(self.data):
+            self.data = np.concatenate((self.data[: self.used], np.empty(max(self.used, len(data)), np.uint8)))
+        self.data[self.used : self.used + len(data)] = data
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(data)
 
-    def decimals(self, packed: list[bytes]) -> list[bytes]:
-        """The decimal ids, joined by commas."""
-        return [x[:-1] for x in self._written(packed, self.decimal)]
+
+class Units:
+    """Results of encoded units, found by the hash of their bytes in a sorted array."""
+
+    def __init__(self):
+        self.hashes, self.where = np.empty(0, U64), np.empty(0, np.int64)
+        self.counts, self.decimal, self.decoded = np.empty(0, np.int64), Grown(), Grown()
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of ascending hashes, -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.where[at], -1)
+
+    def add(self, h: np.ndarray, found: Results) -> None:
+        """Keep the results of new ascending hashes."""
+        at = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, at, h)
+        self.where = np.insert(self.where, at, np.arange(len(self.counts), len(self.counts) + len(h)))
+        self.counts = np.concatenate((self.counts, found.counts))
+        self.decimal.add(found.decimal, found.decimal_size)
+        self.decoded.add(found.decoded, found.decoded_size)
 
 
 class Encoder:
     """Encodes whole texts in a worker from the piece files."""
 
-    def __init__(self, files: PieceFiles, pattern: str):
-        self.files, self.cutter = files, Cutter(pattern)
-        self.units: dict[str, bytes] = {}  # packed ids of " " + unit
+    def __init__(self, files: PieceFiles, pattern: str, ranks: dict[bytes, int]):
+        self.files, self.cutter, self.tokens = files, Cutter(pattern), Tokens(ranks)
+        self.known = Units()
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of each piece."""
-        distinct = list(set(pieces))
-        known = dict(zip(distinct, self.files.find([p.encode() for p in distinct]) if distinct else (), strict=True))
-        return [known[p] for p in pieces]
+    def _found(self, text: str, pieces: list[str], parts: np.ndarray) -> Results:
+        """Results of the parts of a text, of so many pieces each."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each character
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        ids, each = self.files.find(data, byte[np.concatenate(([0], ends[:-1]))] if len(ends) else ends, byte[ends])
+        return self.tokens.results(ids, _sums(each, parts))
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts cut by the pattern."""
+    def _whole(self, texts: list[str]) -> Results:
+        """Results of texts cut by the pattern."""
         cut = [self.cutter.pieces(t) for t in texts]
-        ids = iter(self._ids([p for pieces in cut for p in pieces]))
-        return [b"".join([next(ids) for _ in pieces]) for pieces in cut]
+        return self._found("".join(texts), [p for pieces in cut for p in pieces], np.array([len(x) for x in cut], np.int64))
 
-    def _further(self, units: list[str]) -> list[bytes]:
-        """Packed ids of ``" " + unit`` for each unit: side by side they are cut as each alone, and
+    def _further(self, units: list[bytes]) -> Results:
+        """Results of ``" " + unit`` for each unit: side by side they are cut as each alone, and
         every unit's first piece is the one that starts with the space."""
-        pieces = self.cutter.pieces(" " + " ".join(units))
-        ids = self._ids(pieces)
-        data, ends = b"".join(ids), [0, *accumulate(map(len, ids))]
-        starts = [ends[i] for i, p in enumerate(pieces) if p[0] == " "]
-        return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        cut = [self.cutter.units(t) for t in texts]
-        whole = [t if u is None else u[0] for t, u in zip(texts, cut, strict=True)]
-        units = self.units
-        found = [[] if u is None else list(map(units.get, u[1:])) for u in cut]
-        holes = [i for i, x in enumerate(found) if None in x]
-        new = list({p for i in holes for p, x in zip(cut[i][1:], found[i], strict=True) if x is None})
-        if new:
-            fresh = dict(zip(new, self._further(new), strict=True))
-            for i in holes:
-                found[i] = [fresh[p] if x is None else x for p, x in zip(cut[i][1:], found[i], strict=True)]
-            if len(units) + len(fresh) <= CACHED_UNITS:
-                units.update(fresh)
-        return [b"".join([first, *rest]) for first, rest in zip(self._whole(whole), found, strict=True)]
+        text = (b" " + b" ".join(units)).decode()
+        pieces = self.cutter.pieces(text)
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        return self._found(text, pieces, np.diff(np.append(first, len(pieces))))
+
+    def encode(self, texts: list[str]) -> tuple[list[int], list[bytes], list[bytes]]:
+        """(ids, decimal ids with a comma after each, decoded bytes) of each text.
+
+        Texts that can be cut at their spaces are taken apart as one array of bytes.  Units are
+        told apart by hash at first; ids decode to what was encoded, so a text whose
+        decoded bytes differ held a unit of a known hash and is encoded again piece by piece.
+        """
+        count, decimal, decoded = [0] * len(texts), [b""] * len(texts), [b""] * len(texts)
+        spaced = [bool(t) and self.cutter.spaced(t) for t in texts]
+        plain = [i for i, x in enumerate(spaced) if x]
+        again = [i for i, (t, x) in enumerate(zip(texts, spaced, strict=True)) if t and not x]
+        if plain:
+            own = [texts[i].encode() for i in plain]
+            for i, x, c, d, e in zip(plain, own, *self._cut_at_spaces(own), strict=True):
+                if e == x:
+                    count[i], decimal[i], decoded[i] = c, d, e
+                else:
+                    again.append(i)
+        if again:
+            r = self._whole([texts[i] for i in again])
+            for i, c, d, e in zip(again, r.counts.tolist(), r.texts(r.decimal, r.decimal_size), r.texts(r.decoded, r.decoded_size), strict=True):
+                count[i], decimal[i], decoded[i] = c, d, e
+        return count, decimal, decoded
+
+    def _cut_at_spaces(self, texts: list[bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
+        raw, starts, ends, units = _at_spaces(texts)
+        data = np.frombuffer(raw, np.uint8)
+        first = np.cumsum(units) - units
+        further = np.ones(len(ends), bool)
+        further[first] = False
+        begun = self._whole([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        further = np.flatnonzero(further)
+        h, one, back = np.unique(span_hashes(data, starts, ends)[further], return_index=True, return_inverse=True)
+        place = self.known.find(h)
+        new = np.flatnonzero(place < 0)
+        fresh = None
+        if len(new):
+            a, b = starts[further[one[new]]].tolist(), ends[further[one[new]]].tolist()
+            fresh = self._further([raw[i:j] for i, j in zip(a, b, strict=True)])
+            if len(self.known.counts) + len(new) <= CACHED_UNITS:
+                place[new] = np.arange(len(self.known.counts), len(self.known.counts) + len(new))
+                self.known.add(h[new], fresh)
+                fresh = None
+            else:
+                place[new] = ~np.arange(len(new))  # places in this batch's own results
+        place = place[back]
+        stored, kept = further[place >= 0], place[place >= 0]
+        counts = np.empty(len(ends), np.int64)
+        counts[first], counts[stored] = begun.counts, self.known.counts[kept]
+        if fresh is not None:
+            mine, at = further[place < 0], ~place[place < 0]
+            counts[mine] = fresh.counts[at]
+
+        def joined(what: str) -> list[bytes]:
+            known, size = getattr(self.known, what), np.empty(len(ends), np.int64)
+            begun_size = getattr(begun, f"{what}_size")
+            size[first], size[stored] = begun_size, known.sizes[kept]
+            if fresh is not None:
+                fresh_size = getattr(fresh, f"{what}_size")
+                size[mine] = fresh_size[at]
+            to = np.cumsum(size) - size
+            out = np.empty(int(size.sum()), np.uint8)
+            out[ragged(to[first], begun_size)] = getattr(begun, what)
+            out[ragged(to[stored], size[stored])] = known.data[ragged(known.starts[kept], size[stored])]
+            if fresh is not None:
+                out[ragged(to[mine], size[mine])] = getattr(fresh, what)[ragged((np.cumsum(fresh_size) - fresh_size)[at], size[mine])]
+            return begun.texts(out, _sums(size, units))
+
+        return _sums(counts, units).tolist(), joined("decimal"), joined("decoded")
+
+
+_LAST: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(files: PieceFiles, pattern: str, ranks: dict[bytes, int]) -> Encoder:
+    """This worker's encoder, which later tasks of the same job use again."""
+    key = (files.base, pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Encoder(files, pattern, ranks)
+    return _LAST[key]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -382,16 +544,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, token = Encoder(files, pattern), Tokens(tokens.value)
+        encoder = _encoder(files, pattern, tokens.value)
         for b in slices(batches, "__text"):
-            ids = encoder.encode([t or "" for t in b.column("__text").to_pylist()])
+            count, decimals, decoded = encoder.encode([t or "" for t in b.column("__text").to_pylist()])
             columns = [
-                pa.array([len(x) // ID.itemsize for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in token.decimals(ids)], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in token.decode(ids)], pa.string()),
+                pa.array(count, pa.int64()),
+                pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decimals], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
             ]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(x, ID).astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.array([np.array(x[:-1].split(b",") if x else [], dtype=bytes).astype(np.int32) for x in decimals], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *columns], names=[*names, *new])
 
     given = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("__text"))
