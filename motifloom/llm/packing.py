@@ -10,6 +10,7 @@ partitions are pooled, packed again by best-fit decreasing, and the better of bo
 
 from __future__ import annotations
 
+import logging
 import os
 import zlib
 from array import array
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import stored
@@ -28,6 +29,9 @@ PARTITION_PIECES = 60_000
 FAN_IN = 16
 CACHED_WORDS = 750_000
 MARK = b"\x01"
+STALE = 2  # rounds of exchange without a gain after which it ends
+
+_log = logging.getLogger(__name__)
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -36,7 +40,9 @@ class WordEncoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those
-    of its words one after another; frequent words are encoded once per worker.
+    of its words one after another; frequent words are encoded once per worker.  A text with
+    the string of an added token, which the library finds before it looks at words, is
+    encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -45,8 +51,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -73,7 +79,9 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
-        split = [t.split() if t else [] for t in texts]
+        whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.added)]
+        own = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i].decode() for i in whole], add_special_tokens=False), strict=True))
+        split = [t.split() if t and i not in own else [] for i, t in enumerate(texts)]
         found = [list(map(known.get, words)) for words in split]
         holes = [i for i, ids in enumerate(found) if None in ids]
         new = list({w for i in holes for w, x in zip(split[i], found[i], strict=True) if x is None})
@@ -83,7 +91,7 @@ class WordEncoder:
                 found[i] = [fresh[w] if x is None else x for w, x in zip(split[i], found[i], strict=True)]
             if len(known) + len(fresh) <= CACHED_WORDS:
                 known.update(fresh)
-        return [b"".join(ids) for ids in found]
+        return [array("I", own[i].ids).tobytes() if i in own else b"".join(ids) for i, ids in enumerate(found)]
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +119,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """No packing has fewer bins: the largest bound over two families of dual-feasible functions."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return lower_bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def lower_bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length, 0 to ``capacity``."""
+    count = count.astype(np.int64)
     size = np.arange(capacity + 1)
     below_n, below_s = np.cumsum(count), np.cumsum(count * size)
     k = np.arange(1, capacity // 2 + 1)
     # sizes over capacity - k count as full bins, sizes under k as nothing
-    full = len(lengths) - below_n[capacity - k]
+    full = int(below_n[-1]) - below_n[capacity - k]
     middle = below_s[capacity - k] - below_s[k - 1]
-    best = max(-(-int(below_s[-1]) // capacity), int(np.max(-(-(full * capacity + middle) // capacity))))
+    best = max(-(-int(below_s[-1]) // capacity), int(np.max(-(-(full * capacity + middle) // capacity), initial=0)))
     for q in range(1, 33):  # x -> floor((q + 1) x) / q, exact multiples unchanged
         scaled = (q + 1) * size
         whole = scaled % capacity == 0
@@ -130,6 +141,14 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def certified_bound(pieces: DataFrame, capacity: int = 2048) -> int:
+    """No packing of all ``pieces`` has fewer sequences; one row per length comes to the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return lower_bound_of_counts(count, capacity)
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -182,11 +201,13 @@ def _gap_and_offer(table: pa.Table, capacity: int, tag: int) -> pa.Table:
     return table.set_column(table.schema.get_field_index("part"), "part", pa.array(np.full(len(lengths), tag), pa.int64()))
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (with ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Offsets are gapless from 0 within a sequence.  No row is dropped; columns of those two
-    names are replaced.  Empty input gives no rows.
+    names are replaced.  Empty input gives no rows.  Exchange goes on until the number of
+    sequences meets the bound of all pieces (then no packing has fewer) or STALE rounds in a
+    row save none; both numbers are logged.
     """
     spark = pieces.sparkSession
     pieces = stored(pieces.drop("sequence_id", "offset"), "pieces")
@@ -202,25 +223,35 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 3) -> D
         return _gap_and_offer(table, capacity, tag)
 
     packed = stored(start.groupBy("part").applyInArrow(first, schema), "packed")
-    for r in range(rounds):
-        open_parts = packed.filter("offered").agg(F.countDistinct("part")).first()[0]
-        if open_parts < 2:  # one partition alone has nobody to exchange with
+    bound, best, stale, r = certified_bound(pieces, capacity), None, 0, 0
+    while True:
+        now = packed.agg(F.countDistinct("sequence_id").alias("n"), F.countDistinct(F.when(F.col("offered"), F.col("part"))).alias("open")).first()
+        stale = 0 if best is None or now["n"] < best else stale + 1
+        best = now["n"]
+        # one partition alone has nobody to exchange with
+        if best == bound or now["open"] < 2 or stale == STALE:
             break
-        moving = F.pmod(F.xxhash64("part", F.lit(r)), F.lit(-(-open_parts // FAN_IN)))
-
-        def again(key, table):
-            tag = ((r + 1) << 24) + key[0].as_py()
-            lengths = table["length"].to_numpy()
-            bins, offsets = best_fit_decreasing(lengths, capacity)
-            if bins.max() + 1 < len(table["sequence_id"].unique()):
-                table = _arranged(table, bins, offsets, tag)
-            return _gap_and_offer(table, capacity, tag)
-
-        moved = packed.filter("offered").withColumn("part", moving).groupBy("part").applyInArrow(again, schema)
-        packed = stored(packed.filter("not offered").unionByName(moved), "packed")
+        moving = F.pmod(F.xxhash64("part", F.lit(r)), F.lit(-(-now["open"] // FAN_IN)))
+        packed = _exchanged(packed, moving, r, capacity)
+        r += 1
+    _log.info("%d sequences after %d exchanges; no packing has fewer than %d", best, r, bound)
     return packed.select(*names, "sequence_id", "offset")
 
 
+def _exchanged(packed: DataFrame, moving: Column, r: int, capacity: int) -> DataFrame:
+    """The packing after the offered sequences met by ``moving`` and were packed again."""
+
+    def again(key, table):
+        tag = ((r + 1) << 24) + key[0].as_py()
+        bins, offsets = best_fit_decreasing(table["length"].to_numpy(), capacity)
+        if bins.max() + 1 < len(table["sequence_id"].unique()):
+            table = _arranged(table, bins, offsets, tag)
+        return _gap_and_offer(table, capacity, tag)
+
+    moved = packed.filter("offered").withColumn("part", moving).groupBy("part").applyInArrow(again, packed.schema)
+    return stored(packed.filter("not offered").unionByName(moved), "packed")
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every document's pieces with their sequences; see token_pieces and best_fit_pack."""
     return best_fit_pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), capacity)

@@ -28,7 +28,6 @@ def test_documents(make_docs, texts):
     rows = pack_documents(make_docs(texts, extra=True), PATH, capacity=2048).collect()
     check_layout(rows, 2048)
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     expected = []
     for i, t in texts:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -42,14 +41,21 @@ def test_words_with_the_mark():
     assert encoder._words(words) == [np.array(plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
 
 
+def test_added_tokens_are_what_the_library_makes_of_them():
+    encoder, plain = module.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|> x", "a<|startoftext|>b <|endoftext|>", "<|ENDOFTEXT|> y", "x <|endoftext |>", "no token", "a\n<|endoftext|>\n\tb  c", ""]
+    assert encoder.encode([t.encode() for t in texts]) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_exchange_reaches_the_bound(spark, monkeypatch):
     """Many partitions, each with a gap: after the exchange few sequences over the bound are left."""
     monkeypatch.setattr(module, "PARTITION_PIECES", 40)
     rng = random.Random(2)
     lengths = [rng.randint(1, 60) for _ in range(700)]
     pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(6)
-    rows = best_fit_pack(pieces, capacity=100, rounds=3).collect()
+    rows = best_fit_pack(pieces, capacity=100).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(700))
+    assert module.certified_bound(pieces, 100) == lower_bound(np.array(lengths), 100)
     assert check_layout(rows, 100) <= lower_bound(np.array(lengths), 100) + 3
 
 
