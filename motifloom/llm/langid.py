@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, cut from the beginnings of training texts.  A text is
+Each language has a raw-content zstandard dictionary, cut from training texts.  A text is
 compressed with every dictionary, in chunks, and the language whose dictionary makes it
 smallest wins.  A narrow margin between the two smallest is a rejection.
 
 The dictionaries are learnt from a bounded sample of labelled rows: per language at most
-``dictionary_bytes`` bytes of text, taken in the order of a hash of the text, with at most
-``text_share`` of it, so many characters from the start, from one text.  Predictions cover whole texts.
+``dictionary_bytes`` bytes of at most SAMPLE_TEXTS different texts, taken in the order of a hash
+of the text, and of each text at most ``text_share`` of the dictionary, from a place in the whole
+text that another hash picks.  Predictions cover whole texts.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from motifloom.llm._text import slices
 
 CHUNK = 2048
-SHORT = 256
-SAMPLE_ROWS = 400  # different texts fetched per language, at most
+SAMPLE_TEXTS = 400  # different texts fetched per language, at most
 LETTER = r"\p{L}"
 
 
@@ -54,15 +55,9 @@ class Languages:
         return self._ready
 
     def sizes(self, text: str) -> np.ndarray:
-        """Compressed bytes of the whole text with each language's dictionary.
-
-        Texts too short for sizes to differ by whole bytes are compressed again from each of
-        their words on.
-        """
+        """Compressed bytes of the whole text with each language's dictionary."""
         data = plain(text)
         chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-        if len(data) <= SHORT:
-            chunks += [data[i + 1 :] for i, x in enumerate(data) if x == 32]
         return np.array([sum(len(c.compress(x)) for x in chunks) for c in self._compressors()], dtype=np.int64)
 
 
@@ -74,38 +69,47 @@ def plain(text: str) -> bytes:
 def learn_languages(docs: DataFrame, train: Column, dictionary_bytes: int = 96 << 10, text_share: float = 0.05, lang_col: str = "lang", text_col: str = "text") -> Languages:
     """Dictionaries of all languages found in the rows where ``train`` holds.
 
-    Rows without a language, a text or a letter teach nothing.  Texts are drawn evenly by a
-    hash of their content (SAMPLE_ROWS a language, or all if fewer); texts whose used part is
-    equal, but for case and layout, count once.
+    Rows without a language, a text or a letter teach nothing.  Texts equal but for case and
+    layout count once, however often they occur; SAMPLE_TEXTS of them are drawn evenly a language,
+    or all if there are fewer.  A language's dictionary is never empty.  The table is read
+    twice, for all languages together: to count and to fetch; again only for languages of which
+    too few texts came.
     """
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     usable = docs.filter(train & lang.isNotNull() & text.rlike(LETTER)).select(lang.alias("lang"), text.alias("text"))
+    spelt = F.trim(F.lower(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")))
     rank = F.xxhash64("text", F.lit(7))
-    cut = F.substring("text", 1, int(dictionary_bytes * text_share))
     hashed = usable.groupBy("lang", rank.alias("k")).agg(F.count("*").alias("n"))
     counts = {r["lang"]: (r["n"], r["texts"]) for r in hashed.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
     names = sorted(counts, key=lambda n: (-counts[n][0], n))
-    spelt = F.trim(F.lower(F.regexp_replace("t", r"[ \t\n\x0B\f\r]+", " ")))
-    out = []
-    for name in names:
-        # an even share of the hash range that holds about twice as many texts as are needed
-        share = min(1.0, 2 * SAMPLE_ROWS / counts[name][1])
-        while True:
-            bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
-            part = usable.filter((F.col("lang") == name) & (rank <= F.lit(bound))).select(rank.alias("k"), cut.alias("t"))
-            first = part.groupBy(spelt.alias("spelt")).agg(F.min(F.struct("k", "t")).alias("x"))
-            rows = first.select("x.k", "x.t").orderBy("k", "t").limit(SAMPLE_ROWS).collect()
+    most = max(1, int(dictionary_bytes * text_share))
+    # an even share of the hash range that holds about twice as many texts as are needed
+    share = {name: min(1.0, 2 * SAMPLE_TEXTS / counts[name][1]) for name in names}
+    learnt: dict[str, bytes] = {}
+    while missing := [name for name in names if name not in learnt]:
+        bound = F.lit(None).cast("long")
+        for name in missing:
+            bound = F.when(F.col("lang") == name, F.lit(min(2**63 - 1, int(-(2**63) + share[name] * 2**64)))).otherwise(bound)
+        drawn = usable.filter(rank <= bound).select("lang", rank.alias("k"), spelt.alias("t"))
+        place = F.pmod(F.xxhash64("t", F.lit(11)), F.greatest(F.length("t") - most + 1, F.lit(1))).cast("int") + 1
+        first = drawn.groupBy("lang", "t").agg(F.min("k").alias("k")).withColumn("cut", F.substring("t", place, F.lit(most)))
+        order = Window.partitionBy("lang").orderBy("k", F.xxhash64("t"), "t")
+        rows = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS).select("lang", "n", "cut").collect()
+        of: dict[str, list[tuple[int, str]]] = {}
+        for r in rows:
+            of.setdefault(r["lang"], []).append((r["n"], r["cut"]))
+        for name in missing:
             size, parts = 0, []
-            for x in dict.fromkeys(plain(r["t"]) for r in rows):
-                if size >= dictionary_bytes:
-                    break
-                parts.append(x[: dictionary_bytes - size])
-                size += len(parts[-1]) + 1
-            if size >= dictionary_bytes or len(rows) == SAMPLE_ROWS or share == 1.0:
-                break
-            share = min(1.0, 4 * share)  # many of these begin alike
-        out.append(b" ".join(parts))
-    return Languages(names, out)
+            for x in dict.fromkeys(plain(cut) for _, cut in sorted(of.get(name, ()))):
+                if x and size < dictionary_bytes:
+                    parts.append(x[: min(most, dictionary_bytes - size)])
+                    size += len(parts[-1]) + 1
+            if size >= dictionary_bytes or len(of.get(name, ())) >= SAMPLE_TEXTS or share[name] == 1.0:
+                learnt[name] = b" ".join(parts)
+            share[name] = min(1.0, 4 * share[name])  # many of these are equal but for layout
+    if empty := [name for name in names if not learnt[name]]:
+        raise ValueError(f"no text was learnt for {empty}")
+    return Languages(names, [learnt[name] for name in names])
 
 
 def identify_language(docs: DataFrame, languages: Languages, min_margin: float = 0.002, text_col: str = "text") -> DataFrame:

@@ -49,3 +49,25 @@ def test_copies_of_an_early_text_leave_the_dictionary_whole(spark):
     copies = spark.createDataFrame([(1000 + i, early, "en") for i in range(450)], "doc_id long, text string, lang string")
     model, more = learn_languages(docs, F.lit(True)), learn_languages(docs.unionAll(copies), F.lit(True))
     assert dict(zip(more.names, more.dictionaries, strict=True)) == dict(zip(model.names, model.dictionaries, strict=True))
+
+
+def test_a_text_of_most_rows_leaves_no_dictionary_empty(spark):
+    few = [(i, t, "en") for i, (_, t, lang) in enumerate(corpus() * 4) if lang == "en"][:300]
+    german = " ".join(random.Random(3).choice(SOUNDS["de"]) for _ in range(200))
+    docs = spark.createDataFrame([*few, *((1000 + i, german, "de") for i in range(6000))], "doc_id long, text string, lang string")
+    model = learn_languages(docs, F.lit(True))
+    assert model.names == ["de", "en"] and german.encode() in model.dictionaries[0]
+    assert identify_language(docs.filter("doc_id = 1000"), model).first()["lang_pred"] == "de"
+
+
+def test_texts_are_cut_anywhere(spark):
+    rng = random.Random(8)
+    long = " ".join(f"{rng.randrange(10**9):x}" for _ in range(20_000))
+    model = learn_languages(spark.createDataFrame([(1, long, "xx")], "doc_id long, text string, lang string"), F.lit(True))
+    assert model.dictionaries[0] in long.encode() and not long.encode().startswith(model.dictionaries[0])
+
+
+def test_ties_go_to_the_language_with_more_rows(spark):
+    docs = spark.createDataFrame([(1, "abc abc", "b"), (2, "abc abc", "a"), (3, "abc abc", "b")], "doc_id long, text string, lang string")
+    row = identify_language(docs, learn_languages(docs, F.lit(True))).first()
+    assert (row["lang_pred"], row["lang_score"], row["lang_rejected"]) == ("b", 0.0, True)
