@@ -42,7 +42,7 @@ LEADERS = 3
 MOST_MATCHES = 3
 VERIFY_COST = 8.0
 FLUSH_ROWS = 1_500_000
-BROADCAST_CLASSES = 2_000_000  # 16 MB
+FILTER_BITS = 26  # 8 MB
 _HASH_BITS = 58
 
 
@@ -288,15 +288,43 @@ def _counted(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy()), "need": pa.array(pairs[:, 2].copy()), "hits": pa.array(hits.astype(np.int64))})
 
 
-def _texts_of(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(cls, z): the words of one document of each wanted class, compressed."""
-    spark = docs.sparkSession
-    few = None
-    if wanted.count() <= BROADCAST_CLASSES:
-        few = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], dtype=np.int64)))
+def _places(cls: np.ndarray) -> np.ndarray:
+    return (mix(cls.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _class_filter(wanted: DataFrame) -> bytes:
+    """A bit per hashed class, of one size whatever the data; set bits of all wanted classes."""
+    chunk_bytes = 1 << (CHUNK_BITS + 1)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for b in batches:
+            at = _places(b.column("cls").to_numpy())
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = {i: x for i, x in enumerate(bits.reshape(-1, chunk_bytes)) if x.any()}
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(parts), pa.int32()), "data": pa.array([zstandard.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())})
+
+    def both(key, batches):
+        total = np.zeros(chunk_bytes, np.uint8)
+        for x in batches["data"]:
+            total |= np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in wanted.mapInArrow(part, "chunk int, data binary").groupBy("chunk").applyInArrow(both, "chunk int, data binary").collect():  # 16 rows of a fixed size
+        out[r["chunk"] * chunk_bytes : (r["chunk"] + 1) * chunk_bytes] = np.frombuffer(zstandard.decompress(bytes(r["data"])), np.uint8)
+    return zstandard.compress(out.tobytes(), 1)
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, z): the words of one document of each wanted class, compressed.
+
+    A filter keeps most other classes from being packed; the join decides.
+    """
+    kept = docs.sparkSession.sparkContext.broadcast(_class_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = few.value if few is not None else None, set()
+        bits, seen = np.frombuffer(zstandard.decompress(kept.value), np.uint8), set()
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in slices(batches, "text"):
             w = words_of(binary(b.column("text")), lower=True)
@@ -305,22 +333,16 @@ def _texts_of(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 if a == c:
                     continue
                 own = w.data[w.starts[a] : w.ends[c - 1]]
-                key = int(np.array([xxhash.xxh3_64_intdigest(own)], dtype=U64).view(np.int64)[0])
-                if key in seen:
-                    continue
-                if known is not None:
-                    i = np.searchsorted(known, key)
-                    if i == len(known) or known[i] != key:
-                        continue
-                seen.add(key)
-                cls.append(key)
-                z.append(squeeze.compress(own))
+                key = np.array([xxhash.xxh3_64_intdigest(own)], dtype=U64).view(np.int64)
+                at = int(_places(key)[0])
+                if bits[at >> 3] >> (at & 7) & 1 and int(key[0]) not in seen:
+                    seen.add(int(key[0]))
+                    cls.append(int(key[0]))
+                    z.append(squeeze.compress(own))
             if cls:
                 yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "z": pa.array(z, pa.binary())})
 
-    found = docs.select("text").mapInArrow(run, "cls long, z binary")
-    if few is None:
-        found = found.join(wanted, "cls", "left_semi")
+    found = docs.select("text").mapInArrow(run, "cls long, z binary").join(wanted, "cls", "left_semi")
     return stored(found.dropDuplicates(["cls"]), "texts")
 
 
@@ -390,20 +412,33 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     members = lists.filter("other is null").select("token", "cls", "info")
     first = lists.filter("other is not null").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
     first = stored(first, "pairs")
-    texts = _texts_of(own, size, members.select("cls").distinct())
-    links = stored(_verify(first, texts, size, num, den), "links")
-    roots = stored(connected_components(links), "roots")
+    texts = _texts_of(own, stored(members.select("cls").distinct(), "met"))
+    links = _verify(first, texts, size, num, den)
+    classes = stored(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
+    roots = stored(connected_components(_named(links, classes)), "roots")
 
-    placed = members.join(roots.toDF("cls", "root"), "cls", "left").select("token", "cls", "info", F.coalesce("root", "cls").alias("root"))
+    of = roots.select(F.col("node.cls").alias("cls"), F.col("root.cls").alias("root"))
+    placed = members.join(of, "cls", "left").select("token", "cls", "info", F.coalesce("root", "cls").alias("root"))
     second = _candidates(placed, num, den).join(first, ["a", "b"], "left_anti")
     more = stored(_verify(second, texts, size, num, den), "links")
     if not more.isEmpty():
         # links between components: the old stars and the new links together
-        roots = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "roots")
+        roots = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(_named(more, classes))), "roots")
+
+    # a root is named by its smallest id, so nothing has to be looked up by component
+    reached = roots.select(F.col("node.cls").alias("cls"), F.when(~F.col("root.unnamed"), F.col("root.least")).alias("reached"), F.lit(True).alias("linked"))
+    named = classes.join(reached, "cls", "left").select("cls", F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"))
+    met = rows.join(named.withColumnRenamed("cls", "__cls"), F.col("cls") == F.col("__cls"), "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
 
-    grouped = rows.join(roots.toDF("cls", "root"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
-    smallest = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return grouped.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+def _named(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of classes as links of nodes (unnamed, least, cls): the smallest node of a
+    component has the smallest id in it, where any of its rows has one."""
+    node = F.struct(F.col("least").isNull().alias("unnamed"), F.coalesce("least", F.lit(0)).alias("least"), F.col("cls").alias("cls"))
+    names = classes.select("cls", node.alias("node"))
+    met = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def jaccard_link_counts(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,7 +453,7 @@ def jaccard_link_counts(docs: DataFrame, size: int = 5, percent: int = 80, id_co
     rows, lists = _met(own, size, num, den)
     members = lists.filter("other is null").select("token", "cls", "info")
     pairs = stored(_candidates(members.withColumn("root", F.col("cls")), num, den), "pairs")
-    texts = _texts_of(own, size, members.select("cls").distinct())
+    texts = _texts_of(own, stored(members.select("cls").distinct(), "met"))
     links = stored(_verify(pairs, texts, size, num, den), "links")
     copies = rows.filter("n > 0").groupBy("cls").agg(F.count("*").alias("copies"))
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -110,3 +110,21 @@ def test_link_counts(make_docs, texts):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in got) == expected
     assert len({n for _, i, _, n in expected if i >= 200}) > 3
     assert jaccard_link_counts(make_docs([])).count() == 0
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(300)}" for _ in range(80)] for _ in range(12)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else "x" for w in base[i % 12])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, jaccard_components(docs).collect()))
+    monkeypatch.setattr(module, "_places", lambda cls: cls.view(np.uint64).astype(np.int64) & 7)
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == expected
+
+
+def test_one_id_with_several_texts(spark):
+    """Ids that repeat don't tie their texts together, and negative and null ids keep their order."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (-5, a + " tail"), (None, b + " tail"), (None, "alone here"), (7, b)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, -5), (1, 1), (-5, -5), (None, 1), (None, None), (7, 1)], key=str)
