@@ -77,7 +77,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(_table(spark, sf_dir, "pages"), min_payload_bytes=0)
-    captures = assemble(read_warc(spark, manifest, with_payload=False))
+    captures = assemble(read_warc(spark, manifest, with_payload=False), apart="file")  # equal rows are numbered by file
     about = F.from_json(F.col("metadata.body").cast("string"), "page_id long, url string, payload_bytes long")
     rows = captures.select(
         about["page_id"].alias("page_id"), F.coalesce("response.payload_bytes", about["payload_bytes"]).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),

@@ -18,13 +18,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import filesystem, put_file, shared_dir, shuffle_partitions, stored
 from motifloom.llm._text import binary
 
 FILE_BYTES = 32 << 20
+HOT_ROWS = 1000
+SALTS = 64
 _SPACE = uuid.UUID("6d1f2f0e-2f7b-5c3a-9a34-8a1b5a3f7c10")
 _MANIFEST = "path string, records long"
 RECORD = "file string, record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, body binary"
@@ -87,8 +89,14 @@ def write_warc(pages: DataFrame, min_payload_bytes: int = 0, id_col: str = "page
     base = shared_dir(spark, "warc")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    last = rows.groupBy("sha").agg(F.max("page_id").alias("last"))  # one row a task and payload is shuffled
-    met = rows.join(last, "sha").select("page_id", "url", "payload", "last")
+    last = stored(rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "payloads")  # one row a task and payload is shuffled
+    # a payload with more than a thousandth of all rows, so one of under a thousand, is dealt to many tasks
+    total = last.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(HOT_ROWS, total // 1000)
+    hot = F.broadcast(last.filter(often).select("sha", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url", F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = last.select("sha", "last", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    met = rows.join(hot, "sha", "left").withColumn("salt", salt).join(dealt, ["sha", "salt"]).select("page_id", "url", "payload", "last")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
@@ -177,17 +185,44 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Tru
     return manifest.select("path").repartition(shuffle_partitions(spark), "path").mapInArrow(read, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (file, capture_id, response, request, metadata).
+def assemble(records: DataFrame, apart: str | None = None) -> DataFrame:
+    """One nested row per capture: (capture_id, response, request, metadata, requests, metadatas, others).
 
-    ``response`` holds the response or revisit record, ``request`` and ``metadata`` those that name
-    it as concurrent; each is null if there is none.  Records that name nothing are a
-    capture of their own, so a lone request or an unknown type still gives a row.
+    ``response`` holds the response or revisit record; ``requests``, ``metadatas`` and ``others``
+    the records that name it as concurrent, wherever they lie, or that name one of
+    its requests; ``request`` and ``metadata`` are the first of their lists.  Fields are null
+    and lists empty if there is none.  A record that names nothing is a capture of its own, so a
+    lone request or an unknown type still gives a row.  Lists are ordered by record id.  Archives
+    may repeat each other's record ids: ``apart`` is a column that tells them apart (such as
+    ``file`` where captures never cross files); it is kept, and records meet only within one value.
     """
-    names = [c for c in records.columns if c not in ("file",)]
-    whole = F.struct(*names)
-    kind = lambda *t: F.max(F.when(F.col("type").isin(*t), whole))
-    return (
-        records.groupBy("file", F.coalesce("concurrent_to", "record_id").alias("capture_id"))
-        .agg(kind("response", "revisit").alias("response"), kind("request").alias("request"), kind("metadata").alias("metadata"))
+    names = records.columns
+    whole, given = F.struct(*names), [apart] if apart else []
+    key = [*given, "capture_id"]
+
+    def listed(*types: str, other: bool = False) -> Column:
+        held = F.col("type").isin(*types)
+        return F.array_sort(F.collect_list(F.when(~F.coalesce(held, F.lit(False)) if other else held, whole)), _by_id)
+
+    single = ("response", "revisit", "request", "metadata")
+    first = records.groupBy(*given, F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
+        listed("response", "revisit").alias("responses"), listed("request").alias("requests"), listed("metadata").alias("metadatas"), listed(*single, other=True).alias("others")
     )
+    first = stored(first, "captures")
+    # groups around a request that itself names a response go to that one
+    lone = first.filter(F.size("responses") == 0)
+    asked = first.filter(F.size("responses") > 0).select(*given, F.col("capture_id").alias("of"), F.explode("requests.record_id").alias("capture_id"))
+    moved = lone.join(asked, key)
+    if not moved.isEmpty():
+        moved = stored(moved, "moved")
+        stay = first.join(moved.select(*key), key, "left_anti")
+        together = stay.unionByName(moved.withColumn("capture_id", F.col("of")).drop("of"))
+        lists = ("responses", "requests", "metadatas", "others")
+        first = together.groupBy(*key).agg(*(F.array_sort(F.flatten(F.collect_list(c)), _by_id).alias(c) for c in lists))
+    one = lambda c: F.get(c, F.lit(0))
+    return first.select(*key, one("responses").alias("response"), one("requests").alias("request"), one("metadatas").alias("metadata"), "requests", "metadatas", "others")
+
+
+def _by_id(a: Column, b: Column) -> Column:
+    x, y = F.coalesce(a["record_id"], F.lit("")), F.coalesce(b["record_id"], F.lit(""))
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)

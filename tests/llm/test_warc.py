@@ -10,7 +10,7 @@ SCHEMA = "page_id long, url string, html string, record_id string"
 
 def captures(spark, rows, **how):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(3)
-    out = assemble(read_warc(spark, write_warc(pages, **how)))
+    out = assemble(read_warc(spark, write_warc(pages, **how)), apart="file")
     about = F.from_json(F.col("metadata.body").cast("string"), "page_id long, url string, payload_bytes long")
     return out.withColumn("about", about).collect()
 
@@ -53,3 +53,31 @@ def test_files_are_split_and_empty_tables_write_none(spark, monkeypatch):
     assert manifest.count() > 3 and manifest.agg(F.sum("records")).first()[0] == 120
     assert assemble(read_warc(spark, manifest)).filter("response is not null and request is not null and metadata is not null").count() == 40
     assert assemble(read_warc(spark, write_warc(pages.limit(0)))).count() == 0
+
+
+def test_captures_across_files(spark):
+    """Records of other files, of requests that are named instead of the response, and odd ones."""
+    rows = [
+        ("a", "r1", "response", None), ("b", "q1", "request", "r1"), ("c", "m1", "metadata", "r1"), ("a", "m2", "metadata", "q1"), ("d", "q2", "request", "r1"), ("d", "x1", "conversion", "r1"),
+        ("a", "r2", "revisit", None), ("b", "m3", "metadata", "r2"), ("c", "q9", "request", None), ("c", "m9", "metadata", "q9"), ("c", "i1", "warcinfo", None), ("c", None, None, None),
+    ]
+    records = spark.createDataFrame(rows, "file string, record_id string, type string, concurrent_to string")
+    names = lambda x: [r["record_id"] for r in x]
+    got = {r["capture_id"]: ((r["response"] or {"record_id": None})["record_id"], names(r["requests"]), names(r["metadatas"]), names(r["others"])) for r in assemble(records).collect()}
+    assert got == {
+        "r1": ("r1", ["q1", "q2"], ["m1", "m2"], ["x1"]), "r2": ("r2", [], ["m3"], []), "q9": (None, ["q9"], ["m9"], []), "i1": (None, [], [], ["i1"]), None: (None, [], [], [None]),
+    }
+    apart = assemble(records, apart="file").filter("capture_id = 'r1'").collect()
+    assert sorted((r["file"], len(r["requests"]) + len(r["metadatas"]) + len(r["others"])) for r in apart) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+
+
+def test_a_payload_of_most_rows_is_dealt(spark, monkeypatch):
+    from motifloom.llm import warc
+
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    got = captures(spark, [(i, "u", "hot " * 30_000 if i % 3 else f"own {i}") for i in range(60)])
+    assert sorted(r["about"]["page_id"] for r in got) == list(range(60))
+    hot = [r for r in got if r["about"]["page_id"] % 3]
+    (response,) = [r["response"] for r in hot if r["response"]["type"] == "response"]
+    assert [r["about"]["page_id"] for r in hot if r["response"]["type"] == "response"] == [59]
+    assert {r["response"]["refers_to"] for r in hot if r["response"]["type"] == "revisit"} == {response["record_id"]}
