@@ -1,44 +1,24 @@
 """Tables and files that the driver and all executors must see.
 
-They live under the folder of ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, one machine) a folder of the machine is used.
+They live in the folder that motifloom.sources.shared finds: always a whole URI.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from motifloom.sources.shared import shared_path as shared_dir, stored
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the cluster's shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        own = os.path.join(tempfile.gettempdir(), "motifloom", spark.sparkContext.applicationId)
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = f"file://{own}"
-    return f"{base.rstrip('/')}/motifloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table as read back: this cuts the
-    lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "local_copy", "put_file", "shared_dir", "shuffle_partitions", "stored"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, usable on the driver and in Python workers."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
     return pafs.FileSystem.from_uri(uri)

@@ -53,10 +53,15 @@ def _dump(**arrays: np.ndarray) -> bytes:
     return f.getvalue()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """32 bits where all counts fit, else 64."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64)
+
+
 def _squeeze(key: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane, with their counts."""
     delta = np.diff(key, prepend=key[:1] * 0)
-    planes = np.ascontiguousarray(delta.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes() + np.ascontiguousarray(count.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = np.ascontiguousarray(delta.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes() + np.ascontiguousarray(count.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
     return zstandard.compress(len(key).to_bytes(8, "little") + planes, 3)
 
 
@@ -64,8 +69,8 @@ def _expand(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.decompress(blob)
     n = int.from_bytes(raw[:8], "little")
     a = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n)
-    b = np.frombuffer(raw, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(a.T).view("<u8").ravel(), dtype=U64), np.ascontiguousarray(b.T).view("<u4").ravel().astype(np.int64)
+    b = np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(a.T).view("<u8").ravel(), dtype=U64), np.ascontiguousarray(b.T).view("<i8").ravel()
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,6 +293,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         put_file(f"{base}/words-{k}", _dump(hash=np.zeros(0, U64), count=np.zeros(0, np.int64)))
     model.first = np.concatenate(([0], np.cumsum(sizes)))
     model.train_tokens = int(totals.sum())
+    if model.words >= UNKNOWN:
+        raise ValueError(f"{model.words} different words; ids have 32 bits")
     if not model.train_tokens:
         return model
 
@@ -314,7 +321,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, key, count in _by_bucket(batches):
-            put_file(f"{base}/pairs-{k}", _dump(key=key, count=count.astype(np.uint32)))
+            put_file(f"{base}/pairs-{k}", _dump(key=key, count=_narrow(count)))
             low = np.minimum(count, 5)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(["n"]), "part": pa.array([k], pa.int32()), "data": pa.array([np.bincount(low, minlength=6).astype("<i8").tobytes()], pa.binary())})
             # per context: tokens and the numbers of followers seen 1, 2, 3+ times
@@ -356,7 +363,7 @@ def _dealt(kind: str, first: np.ndarray, ids: np.ndarray, values: np.ndarray) ->
     """Rows (kind, part, data): ascending ids and their values, by vocabulary file."""
     part = np.searchsorted(first, ids, side="right") - 1
     at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    blobs = [zstandard.compress(_dump(id=(ids[a:b] - first[part[a]]).astype(np.uint32), value=values[a:b].astype(np.uint32).ravel()), 1) for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)]
+    blobs = [zstandard.compress(_dump(id=(ids[a:b] - first[part[a]]).astype(np.uint32), value=_narrow(values[a:b].ravel())), 1) for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)]
     yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at)), "part": pa.array(part[at], pa.int32()), "data": pa.array(blobs, pa.binary())})
 
 

@@ -54,6 +54,11 @@ def features(text: bytes | None) -> np.ndarray:
     return np.concatenate((shares, np.sqrt(shares), more))
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Deviations, at most 8: learnt and scored alike, so extreme texts are not extrapolated."""
+    return np.clip((x - mean) / scale, -8, 8)
+
+
 @dataclass
 class Ranker:
     mean: np.ndarray
@@ -63,12 +68,12 @@ class Ranker:
     cut: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weight - self.threshold + np.log(self.cut / (1 - self.cut))
+        z = _scaled(x, self.mean, self.scale) @ self.weight - self.threshold + np.log(self.cut / (1 - self.cut))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def bradley_terry(x: np.ndarray, y: np.ndarray, cut: float = 0.3, pairs: int = PAIRS, penalty: float = 2e-3, seed: int = 5) -> Ranker:
-    """Weights from random (preferred, rejected) pairs by Newton steps; the threshold is the
+    """Weights from ``pairs`` random (preferred, rejected) pairs of the bounded sample by Newton steps; the threshold is the
     training-score quantile that makes the fewest errors (the middle of equally good ones).
     Without both labels nothing can be ranked: all weights are 0 and every score is over ``cut``."""
     mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
@@ -78,7 +83,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, cut: float = 0.3, pairs: int = P
     if not len(good) or not len(bad):
         return Ranker(mean, scale, weight, -1.0, cut)
     rng = np.random.default_rng(seed)
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = _scaled(x, mean, scale)
     diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     for _ in range(25):
         p = 1 / (1 + np.exp(np.clip(diff @ weight, -30, 30)))  # chance of the wrong order
@@ -88,7 +93,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, cut: float = 0.3, pairs: int = P
         weight = weight - step
         if np.abs(step).max() < 1e-6:
             break
-    raw = ((x - mean) / scale) @ weight
+    raw = z @ weight
     order = np.argsort(raw, kind="stable")
     errors = np.concatenate(([0], np.cumsum(y[order] == 1))) + np.concatenate((np.cumsum((y[order] == 0)[::-1])[::-1], [0]))
     best = np.flatnonzero(errors == errors.min())
@@ -110,7 +115,8 @@ def _with_features(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def learn_ranker(docs: DataFrame, labels: DataFrame, train: Column, cut: float = 0.3, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
     """Learn from labelled rows (``labels``: id, quality 0 or 1) where ``train``, a condition on
-    the id, holds.  Other labels, null ids and ids without a document teach nothing."""
+    the id, holds: at most ``sample_rows`` of them, drawn evenly by a hash of the id, and PAIRS
+    preference pairs among them.  Other labels, null ids and ids without a document teach nothing."""
     usable = labels.filter(train & F.col("quality").isin(0, 1) & F.col(f"`{id_col}`").isNotNull())
     total = usable.count()
     rank = F.xxhash64(F.col(f"`{id_col}`"), F.lit(11))
@@ -118,7 +124,8 @@ def learn_ranker(docs: DataFrame, labels: DataFrame, train: Column, cut: float =
     picked = usable.filter(rank <= F.lit(bound)).select(F.col(f"`{id_col}`").alias("__id"), F.col("quality").cast("int").alias("__y")).orderBy(rank, "__y").limit(sample_rows)
     # at most sample_rows pairs of numbers
     met = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(picked), "__id")
-    rows = _with_features(met, ["__id", "__y"]).collect()
+    # an id may have many documents
+    rows = _with_features(met, ["__id", "__y"]).orderBy(F.xxhash64("__id", "x"), "__id").limit(sample_rows).collect()
     rows.sort(key=lambda r: (r["__id"], r["__y"], r["x"]))
     return bradley_terry(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["__y"] for r in rows], dtype=int), cut)
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,14 @@ def test_discounts():
     d = discounts([100, 40, 20, 10])
     y = 100 / 180
     assert d[1:] == pytest.approx([1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5])
+
+
+def test_counts_over_32_bits_stay_whole():
+    key = np.array([3, 5, 2**63], np.uint64)
+    count = np.array([1, 2**32 + 7, 2**40], np.int64)
+    for part in (module._expand(module._squeeze(key, count)), module._summed([key, key], [count - 1, np.ones(3, np.int64)])):
+        assert part[0].tolist() == key.tolist() and part[1].tolist() == count.tolist()
+    assert module._narrow(count).tolist() == count.tolist() and module._narrow(count[:1]).dtype == np.uint32
+    (batch,) = module._dealt("context", np.array([0, 10]), np.array([2, 4]), np.array([[2**33, 1], [3, 2**34]]))
+    ids, values = module._load(batch.column("data")[0].as_py())
+    assert ids.tolist() == [2, 4] and values.tolist() == [2**33, 1, 3, 2**34]

@@ -57,3 +57,35 @@ def test_pairs_order_the_classes():
     s = r.scores(x)
     assert s[y == 1].mean() > s[y == 0].mean() + 0.4
     assert len(features(b"a b")) == len(FEATURES) == len(features(None))
+
+
+def test_weights_are_those_of_plain_descent():
+    """Bradley-Terry by gradient steps on all pairs that were drawn, without Newton's method."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(120) < 0.6).astype(int)
+    x = rng.normal(size=(120, len(FEATURES)))
+    x[:, 2] += y
+    r = bradley_terry(x, y, pairs=500, penalty=0.05)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    draw = np.random.default_rng(5)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    diff = z[draw.choice(good, 500)] - z[draw.choice(bad, 500)]
+    w = np.zeros(len(FEATURES))
+    for _ in range(6000):
+        p = 1 / (1 + np.exp(diff @ w))
+        w += 0.1 * ((diff * p[:, None]).mean(axis=0) - 0.05 * w)
+    assert np.abs(w - r.weight).max() < 1e-3
+    raw = z @ w
+    cuts = sorted(raw)
+    fewest = min(sum((raw[i] >= c) != y[i] for i in range(120)) for c in [*cuts, cuts[-1] + 1])
+    assert sum((r.scores(x) >= r.cut) != y) <= fewest + 1
+
+
+def test_extreme_texts_are_scored_as_the_border():
+    rng = np.random.default_rng(4)
+    y = (rng.random(200) < 0.5).astype(int)
+    x = rng.normal(size=(200, len(FEATURES)))
+    x[:, 1] += 2 * y
+    r = bradley_terry(x, y)
+    far, farther = r.mean + 9 * r.scale, r.mean + 9000 * r.scale
+    assert r.scores(far[None])[0] == r.scores(farther[None])[0]
