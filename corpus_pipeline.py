@@ -1,8 +1,8 @@
 """A corpus pipeline: language ID, quality, near-duplicate removal, substring dedup, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all
-but the last return the columns of ``documents``.  What a stage learns from labels comes from
-the whole ``documents`` and ``labels`` tables of ``sf_dir``, as in the single queries.
+but the last return the columns of ``documents``.  Languages are learnt from the rows a stage is
+given, quality from those rows and the ``labels`` table of ``sf_dir``.
 """
 
 from __future__ import annotations
