@@ -7,7 +7,7 @@ these six bytes and ``bytes.lower()`` changes A-Z only.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,8 +150,26 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches of about ``size`` bytes of ``column``; frees memory at the end."""
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The one large thing that this worker keeps from task to task, such as a cache; made anew
+    when another is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21, holding: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of about ``size`` bytes of ``column``; frees memory at the end.
+
+    Unless ``holding``, the worker first lets go of what an earlier operator held.
+    """
+    if _held and not holding:
+        _held.clear()
+        release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import local_copy, put_file, shared_dir, stored
-from motifloom.llm._text import U64, slices, span_hashes
+from motifloom.llm._text import U64, held, slices, span_hashes
 
 BUCKETS = 1 << 16
 FOLD_BYTES = 48  # longer pieces are merged with a heap: the fold's time grows with the square
@@ -516,18 +516,6 @@ class Encoder:
         return _sums(counts, units).tolist(), joined("decimal"), joined("decoded")
 
 
-_LAST: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(files: PieceFiles, pattern: str, ranks: dict[bytes, int]) -> Encoder:
-    """This worker's encoder, which later tasks of the same job use again."""
-    key = (files.base, pattern)
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Encoder(files, pattern, ranks)
-    return _LAST[key]
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``docs`` without its text and with ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by
     commas), ``decoded_sha256`` (of the bytes the ids decode to) and, if asked, ``ids`` array<int>.
@@ -544,8 +532,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(files, pattern, tokens.value)
-        for b in slices(batches, "__text"):
+        encoder = held(("units", files.base, pattern), lambda: Encoder(files, pattern, tokens.value))
+        for b in slices(batches, "__text", holding=True):
             count, decimals, decoded = encoder.encode([t or "" for t in b.column("__text").to_pylist()])
             columns = [
                 pa.array(count, pa.int64()),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm._shared import stored
-from motifloom.llm._text import binary, slices
+from motifloom.llm._text import binary, held, slices
 
 PARTITION_PIECES = 60_000
 FAN_IN = 16
@@ -33,8 +33,6 @@ STALE = 2  # rounds of exchange without a gain after which it ends
 
 _log = logging.getLogger(__name__)
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 class WordEncoder:
     """Token ids of whole texts, word by word.
@@ -55,12 +53,6 @@ class WordEncoder:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
-
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word: many words in one string, with a word between them that none contains."""
         out: dict[bytes, bytes] = {}
@@ -161,8 +153,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(tokenizer_path)
-        for b in slices(batches, "text"):
+        encoder = held(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        for b in slices(batches, "text", holding=True):
             rows: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(binary(b.column("text"))), strict=True):
                 ids += end
