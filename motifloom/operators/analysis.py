@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.functions.index import EPS, relaxation
+from motifloom.functions.index import EPS, noise_fits, occurrences, relaxation
 from motifloom.operators.maximal import KEY, larger_intervals
 
 CASE_STUDY_EDGES = 50  # a fixed value: larger motifs are left out of the comparison with exact ones
@@ -99,17 +99,17 @@ def validate(members: DataFrame, cells: DataFrame, ei: DataFrame, k: int, delta:
     ``larger``: a larger interval (on either or both sides) holds the motif.
     """
     delta, c = relaxation(delta, c)
-    inner = members.join(cells.select("edge_id", "t", F.col("label").alias("now")), "edge_id").filter("t between s and e")
-    per_edge = inner.groupBy(*KEY, "edge_id", "label").agg(
-        F.array_sort(F.collect_list(F.when(F.col("now") == F.col("label"), F.col("t")))).alias("at"), F.count("*").alias("n"),
-    )
-    gap = F.array_max(F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.element_at("at", i) - F.when(i > 1, F.element_at("at", F.greatest(i - 1, F.lit(1)))).otherwise(F.element_at("at", i) - 1) - 1))
-    bad = per_edge.select(
+    # the index rows at both ends: one chain has no gap of over c, and mismatches are a difference
+    at = occurrences(cells, c).select("edge_id", "label", "t", "dif", "chain")
+    first, last = at.toDF("edge_id", "label", "s", "dif", "chain"), at.toDF("edge_id", "label", "e", "dif2", "chain2")
+    met = members.join(first, ["edge_id", "label", "s"], "left").join(last, ["edge_id", "label", "e"], "left")
+    length = F.col("e") - F.col("s") + 1
+    bad = met.select(
         *KEY,
-        F.when(F.col("e") - F.col("s") + 1 < k, "short")
-        .when((F.size("at") == 0) | (F.array_min("at") != F.col("s")) | (F.array_max("at") != F.col("e")), "ends")
-        .when(F.lit(c is not None) & (F.when(F.size("at") > 0, gap) > F.lit(c if c is not None else 0)), "block")
-        .when((F.col("e") - F.col("s") + 1 - F.size("at")) - F.lit(float(delta)) * (F.col("e") - F.col("s") + 1) > EPS, "noise")
+        F.when(length < k, "short")
+        .when(F.col("chain").isNull() | F.col("chain2").isNull(), "ends")
+        .when(F.col("chain") != F.col("chain2"), "block")
+        .when(~noise_fits(F.col("dif2") - F.col("dif"), length, delta), "noise")
         .alias("problem"),
     ).filter("problem is not null")
     larger = larger_intervals(members, ei).select(*KEY, F.lit("larger").alias("problem"))

@@ -91,6 +91,8 @@ def component_members_by_stars(rows: DataFrame, max_rounds: int = 60) -> DataFra
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     named = rows.join(links.select(*cell, F.col("a").alias("u"), F.col("b").alias("root")), [*cell, "u"], "left").withColumn("root", F.coalesce("root", "u"))
     least = named.groupBy(*cell, "root").agg(F.min("edge_id").alias("comp"))
     return named.join(least, [*cell, "root"]).select("s", "e", "comp", "edge_id", "label")

@@ -17,6 +17,12 @@ cells AS (SELECT ends.edge_id, CAST(g.t AS INT) AS t, coalesce(cnt.label, 0) AS
 LARGER = """held AS (SELECT m.s, m.e, m.comp, y.s AS s2, y.e AS e2, count(*) AS n FROM member m JOIN ei y ON y.edge_id = m.edge_id AND y.label = m.label AND y.s <= m.s AND y.e >= m.e AND (y.s < m.s OR y.e > m.e) GROUP BY ALL),
 larger AS (SELECT h.s, h.e, h.comp, h.s2, h.e2 FROM held h JOIN listed l ON l.s = h.s AND l.e = h.e AND l.comp = h.comp WHERE h.n = l.size)"""
 
+SCOPE = """far AS (SELECT edge_id, label, s, e, max(e) OVER (PARTITION BY edge_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ei),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id, label ORDER BY s, e) AS g FROM far),
+cover AS (SELECT edge_id, label, min(s) AS lo, max(e) AS hi FROM numbered GROUP BY edge_id, label, g),
+bound AS (SELECT m.s, m.e, m.comp, m.edge_id, m.label, y.lo, y.hi FROM member m JOIN cover y ON y.edge_id = m.edge_id AND y.label = m.label AND y.lo <= m.s AND y.hi >= m.e),
+scope AS (SELECT s, e, comp, max(lo) AS lo, min(hi) AS hi FROM bound GROUP BY ALL)"""
+
 LISTED = " SELECT s, e, comp, size, ids, labels FROM motif"
 
 
@@ -94,3 +100,12 @@ def rarest(first: str, second: str) -> str:
         _pairs(first, second, _WITHIN, None)
         + ", f AS (SELECT edge_id, count(*) AS n FROM y GROUP BY edge_id) SELECT s, e, comp, x.edge_id, coalesce(n, 0) AS n FROM x LEFT JOIN f USING (edge_id) QUALIFY row_number() OVER (PARTITION BY s, e, comp ORDER BY coalesce(n, 0), x.edge_id) = 1"
     )
+
+
+#: Problems of the planted motifs p (s, e, comp, edge_id, label), read off the cells of each interval.
+VALIDATE = """, hit AS (SELECT p.s, p.e, p.comp, p.edge_id, p.label, x.t, x.t - lag(x.t) OVER (PARTITION BY p.s, p.e, p.comp, p.edge_id ORDER BY x.t) - 1 AS gap FROM p JOIN cells x ON x.edge_id = p.edge_id AND x.label = p.label AND x.t BETWEEN p.s AND p.e),
+seen AS (SELECT s, e, comp, edge_id, min(t) AS lo, max(t) AS hi, max(gap) AS gap, count(*) AS n FROM hit GROUP BY s, e, comp, edge_id),
+bad AS (SELECT p.s, p.e, p.comp, CASE WHEN p.e - p.s + 1 < {k} THEN 'short' WHEN n IS NULL OR lo <> p.s OR hi <> p.e THEN 'ends' WHEN gap > {c} THEN 'block' WHEN (p.e - p.s + 1 - n) - CAST({delta} AS DOUBLE) * (p.e - p.s + 1) > 1e-7 THEN 'noise' END AS problem FROM p LEFT JOIN seen USING (s, e, comp, edge_id)),
+big AS (SELECT p.s, p.e, p.comp, y.s AS s2, y.e AS e2, count(*) AS n FROM p JOIN ei y ON y.edge_id = p.edge_id AND y.label = p.label AND y.s <= p.s AND y.e >= p.e AND (y.s < p.s OR y.e > p.e) GROUP BY ALL),
+psize AS (SELECT s, e, comp, count(*) AS n FROM p GROUP BY ALL)
+SELECT DISTINCT s, e, comp, problem FROM bad WHERE problem IS NOT NULL UNION SELECT s, e, comp, 'larger' FROM big JOIN psize USING (s, e, comp, n)"""

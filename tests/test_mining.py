@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from motifloom.functions.index import occurrences, run_bounds
 from motifloom.operators import analysis, connectivity, report
 from motifloom.operators.intervals import tabu_ends, tabu_ranges, valid_intervals, valid_intervals_split, valid_ranges
-from motifloom.operators.mine import mine_many, mine_prefix, motif_members, update
+from motifloom.operators.mine import mine_many, mine_prefix, motif_members, plan_of, update
 from motifloom.sources.edge_list import read_motifs
 from tests.graphs import T1, T2, T3, brute, found, frames, valid
 
@@ -141,3 +141,16 @@ def test_empty_graph(spark):
     cells = spark.createDataFrame([], "edge_id long, t int, label int")
     assert motif_members(cells, edges, 2, 0.2, 1).count() == 0
     assert report.summary(motif_members(cells, edges, 2, 0.2, 1)).first()["motifs"] == 0
+
+
+def test_algorithms_by_number():
+    assert plan_of(12) == plan_of("plain") == plan_of(23) == "plain" and plan_of(31) == plan_of(34) == "plus"
+    for wrong in (99, "other"):
+        with pytest.raises(ValueError):
+            plan_of(wrong)
+
+
+def test_unsettled_stars_are_an_error(spark):
+    rows = [(0, 1, i, 0, f"n{i:02}", f"n{i + 1:02}") for i in range(12)]
+    with pytest.raises(RuntimeError):
+        connectivity.component_members_by_stars(spark.createDataFrame(rows, "s int, e int, edge_id long, label int, u string, v string"), max_rounds=1)
