@@ -128,3 +128,11 @@ def test_one_id_with_several_texts(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (-5, a + " tail"), (None, b + " tail"), (None, "alone here"), (7, b)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()), key=str)
     assert got == sorted([(1, -5), (1, 1), (-5, -5), (None, 1), (None, None), (7, 1)], key=str)
+
+
+def test_a_text_of_most_rows_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(module, "HOT_ROWS", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(100 + i, text) for i in range(30)] + [(7, text + " tail"), (8, "other words in here now"), (9, None), (None, text)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {**{100 + i: 7 for i in range(30)}, 7: 7, 8: 8, 9: 9, None: 7}
