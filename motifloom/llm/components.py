@@ -7,28 +7,43 @@ from pyspark.sql import functions as F
 
 from motifloom.llm._shared import stored
 
+HOT_ROWS = 1000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """``rows(a, b)`` with m of ``low(a, m, n)``, where n counts the rows of a.
+
+    Nodes with over ``limit`` rows are so few that their m is broadcast; their rows stay where they are.
+    """
+    hot = low.filter(F.col("n") > limit).select("a", F.col("m").alias("hot_m"))
+    met = rows.join(F.broadcast(hot), "a", "left")
+    others = met.filter("hot_m is null").select("a", "b").join(low.select("a", "m"), "a")
+    return met.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")).unionAll(others.select("a", "b", "m"))
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 
     Large-star and small-star steps alternate until the edges are stars.  Every step is an
-    aggregate with map-side sums and a join that may be split when skewed, and its result is a
-    table in the shared folder.  Loops and null ends are ignored.
+    aggregate with map-side sums and a join; the rows of a node with over a thousandth of them, so of
+    under a thousand nodes, are joined in place.  A round's result is a table in the shared folder.
+    Loops and null ends are ignored.
     """
     e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, count = None, e.count()
     for _ in range(max_rounds):
+        limit = max(HOT_ROWS, 2 * count // 1000)
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        met = e.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        e = _with_low(both, low, limit).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        met = _with_low(e, low, limit)
         e = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
         e = stored(e, "edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
+        before, count = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b", "b").distinct().toDF("node", "root"))

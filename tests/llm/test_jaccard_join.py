@@ -93,6 +93,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_around_frequent_nodes(spark, monkeypatch):
+    """Two stars, one around its largest and one around a middle node, a bridge between leaves, and a chain."""
+    edges = [(500, i) for i in range(100, 140)] + [(250, i) for i in range(230, 270)] + [(139, 231)] + [(i, i + 1) for i in range(600, 612)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    expected = {**{i: 100 for i in [500, 250, *range(100, 140), *range(230, 270)]}, **{i: 600 for i in range(600, 613)}}
+    for limit in (1000, 5, 0):
+        monkeypatch.setattr("motifloom.llm.components.HOT_ROWS", limit)
+        assert dict(connected_components(frame).collect()) == expected
+
+
 def test_link_counts(make_docs, texts):
     rng = random.Random(8)
     base = words(rng, 60).split()
