@@ -1,17 +1,23 @@
-"""Interpolated modified Kneser-Ney scores from a bigram model counted over the corpus.
+"""Interpolated modified Kneser-Ney scores from an n-gram model of any order counted over the corpus.
 
 The model lives in the shared folder as sorted arrays that workers map into memory:
 
 * vocabulary: the sorted 64-bit hashes of the training words, in files by leading bits; a word's
   id is its place.  With them lie its count, what it needs as a context (total, weight left to the
-  lower order) and its own continuation probability.
-* bigrams: sorted keys ``context id << 32 | word id`` with counts, in files of contiguous key
-  ranges.  Ranges follow the counts of the contexts, so a frequent context is split by word.
-
-Counting goes through packed, sorted blocks: each task counts its own words and bigrams first, so a
-frequent one leaves a task once.  All training texts are counted, whole.  Discounts are the
-usual D1, D2, D3+ of the counts of counts; the lowest order is interpolated with the uniform
-distribution over the vocabulary and one unknown word.
+  lower order) and its own lowest-order probability.
+* n-grams of each length m from 2: word ids, sorted by context and word, and where each context
+  starts.  A context of one word is its id; a longer one is its place among the n-grams of m - 1
+  words, and its followers lie in the file of the same number.  Files of two words are ranges of
+  equal mass by the counts of the contexts, so a frequent context is split by word.
+
+A text is preceded by one end; an n-gram does not reach beyond it, so the first words of a text
+have shorter contexts.  Counts of the longest n-grams and of those that begin with the end of a
+text are numbers of occurrences, all others numbers of different words before them.
+
+Counting goes through packed, sorted blocks: each task counts its own n-grams first, so a
+frequent one leaves a task once.  All training texts are counted, whole, in one pass for each
+length.  Discounts are the usual D1, D2, D3+ of the counts of counts; the lowest order is
+interpolated with the uniform distribution over the vocabulary and one unknown word.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from motifloom.llm._text import U64, Words, binary, slices, words_of
 END = U64(0x9AE16A3B2F90404F)  # stands for the end of a text among the hashes of words
 FLUSH_TOKENS = 3_000_000
 UNKNOWN = 0xFFFFFFFF
+MISSING = U64(0xFFFFFFFFFFFFFFFF)  # place of an n-gram that is not in the model
+LOW = U64(0xFFFFFFFF)
 _PACK = "bucket int, data binary"
 
 
@@ -82,6 +90,60 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[at], np.add.reduceat(count, at) if len(at) else count
 
 
+def _summed_by_bucket(buckets: list[np.ndarray], keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bucket, key), ascending, with the sums of their counts."""
+    bucket, key, count = np.concatenate(buckets), np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bucket, key, count = bucket[order], key[order], count[order]
+    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))))[: len(key)]
+    return bucket[at], key[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _bytes(count: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as one byte each; those of 255 and more apart."""
+    at = np.flatnonzero(count >= 255)
+    return {"small": np.minimum(count, 255).astype(np.uint8), "at": at, "large": count[at].astype(np.int64)}
+
+
+def _wide(a: dict[str, np.ndarray], at: np.ndarray | None = None, prefix: str = "") -> np.ndarray:
+    """Counts that `_bytes` has packed, all or those at given places."""
+    small = a[prefix + "small"]
+    out = (small if at is None else small[at]).astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = a[prefix + "large"][np.searchsorted(a[prefix + "at"], big if at is None else at[big])]
+    return out
+
+
+def _find(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``want`` lies in the ascending stretches ``words[lo:hi]``, and whether it is there."""
+    lo, end, hi = lo.copy(), hi, hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        less = words[mid] < want[live]
+        lo[live[less]] = mid[less] + 1
+        hi[live[~less]] = mid[~less]
+        live = live[lo[live] < hi[live]]
+    ok = lo < end
+    ok[ok] = words[lo[ok]] == want[ok]
+    return lo, ok
+
+
+def _by_file(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each file's number and the places that hold it."""
+    order = np.argsort(where, kind="stable")
+    files, at = np.unique(where[order], return_index=True)
+    yield from zip(files.tolist(), np.split(order, at[1:]), strict=False)
+
+
+def _starts(context: np.ndarray, contexts: int) -> np.ndarray:
+    """Where each of ``contexts`` contexts starts among ascending ones, and the end."""
+    out = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=contexts))))
+    return out.astype(np.uint32 if out[-1] < 2**32 else np.int64)
+
+
 def _blocks(key: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """One packed row per bucket; key and bucket ascend together."""
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -95,15 +157,15 @@ def _blocks(key: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> pa.Record
 class Model:
     """Where the arrays are, the discounts, and lookups in a worker."""
 
-    def __init__(self, base: str):
+    def __init__(self, base: str, order: int):
         self.base = base
+        self.order = order
         self.bits = 0
         self.first = np.zeros(1, np.int64)  # id of each vocabulary file's first word; the vocabulary's size at the end
         self.train_tokens = 0
-        self.edges = np.zeros(0, U64)  # least key of each bigram file
-        self.files: list[int] = []  # and its number
+        self.edges = np.zeros(0, U64)  # least bigram (context id << 32 | word id) of each file
         self.low = np.zeros(4)  # discounts of the lowest order
-        self.high = np.zeros(4)
+        self.cuts: dict[int, np.ndarray] = {}  # and of the others, by length
         self.low_total = 0
         self.low_rest = 1.0
         self._open: dict[str, dict[str, np.ndarray]] = {}
@@ -154,46 +216,82 @@ class Model:
             out[known[a:b]] = self.arrays(f"{kind}-{n}")[name][own[a:b] - int(self.first[n])]
         return out
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending keys."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        where = np.searchsorted(self.edges, keys, side="right") - 1
-        for n in np.unique(where).tolist():
-            if n >= 0:
-                a, b = np.searchsorted(where, [n, n + 1])
-                table = self.arrays(f"pairs-{self.files[n]}")
-                at = np.minimum(np.searchsorted(table["key"], keys[a:b]), len(table["key"]) - 1)
-                out[a:b] = np.where(table["key"][at] == keys[a:b], table["count"][at], 0)
+    def places(self, m: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """File and place (file << 32 | place) of n-grams of ``m`` words given by their contexts'
+        ids or places and their last words' ids; MISSING if not in the model."""
+        out = np.full(len(word), MISSING)
+        known = np.flatnonzero((word != UNKNOWN) & (context != (UNKNOWN if m == 2 else MISSING)))
+        context, word = context[known], word[known]
+        where = np.searchsorted(self.edges, (context << U64(32)) | word, side="right") - 1 if m == 2 else (context >> U64(32)).astype(np.int64)
+        for n, mine in _by_file(where):
+            g = self.arrays(f"grams{m}-{n}")
+            own = (context[mine].astype(np.int64) - int(g["base"][0])) if m == 2 else (context[mine] & LOW).astype(np.int64)
+            inside = (own >= 0) & (own < len(g["start"]) - 1)
+            mine, own = mine[inside], own[inside]
+            place, ok = _find(g["word"], g["start"][own].astype(np.int64), g["start"][own + 1].astype(np.int64), word[mine])
+            out[known[mine[ok]]] = (U64(n) << U64(32)) | place[ok].astype(U64)
         return out
 
+    def of_places(self, kind: str, places: np.ndarray, *prefixes: str) -> list[np.ndarray]:
+        """Packed counts of the files ``kind``-n at places; 0 where MISSING."""
+        out = [np.zeros(len(places), np.int64) for _ in prefixes]
+        known = np.flatnonzero(places != MISSING)
+        where = (places[known] >> U64(32)).astype(np.int64)
+        for n, mine in _by_file(where):
+            mine = known[mine]
+            own, table = (places[mine] & LOW).astype(np.int64), self.arrays(f"{kind}-{n}")
+            for o, prefix in zip(out, prefixes, strict=True):
+                o[mine] = _wide(table, own, prefix)
+        return out
+
+    def grams(self, own: np.ndarray, first: np.ndarray, end: int, ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from 2: (length, tokens that end an n-gram of it, a token of each
+        distinct n-gram, which one each token ends, its context and its last word, each as a number
+        among the distinct shorter n-grams and words).  ``own``: each token's distinct word."""
+        rank = np.arange(len(own)) - np.repeat(first[:-1], np.diff(first))
+        before = own
+        for m in range(2, longest + 1):
+            at = np.flatnonzero(rank >= m - 2)
+            context = before[np.maximum(at - 1, 0)]
+            if m == 2:
+                context[rank[at] == 0] = end
+            key, sample, place = np.unique((context.astype(U64) << U64(32)) | own[at].astype(U64), return_index=True, return_inverse=True)
+            yield m, at, at[sample], place, (key >> U64(32)).astype(np.int64), (key & LOW).astype(np.int64)
+            before = np.zeros(len(own), np.int64)
+            before[at] = place
+
     def score(self, w: Words) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base and score (log10)."""
         h, first = tokens(w)
         distinct, own = np.unique(h, return_inverse=True)
         ids = self.ids(distinct)
         count = self.of_words(ids, "words", "count", 0.0)
-        lower = self.of_words(ids, "model", "lower", self.low_rest / (self.words + 1))
+        base = np.log10((count + 1) / (self.train_tokens + self.words + 1))[own]
+        chance = self.of_words(ids, "model", "lower", self.low_rest / (self.words + 1))[own]
         total = self.of_words(ids, "model", "total", 0.0)
         rest = self.of_words(ids, "model", "rest", 1.0)
-        base = np.log10((count + 1) / (self.train_tokens + self.words + 1))[own]
-        # the context of a text's first token is the end of a text
-        end = int(np.searchsorted(distinct, END))
-        before = np.concatenate(([end], own[:-1]))
-        before[first[:-1]] = end
-        pairs, place = np.unique((ids[before] << U64(32)) | ids[own], return_inverse=True)
-        known = (pairs >> U64(32) != UNKNOWN) & (pairs & U64(UNKNOWN) != UNKNOWN)
-        seen = np.zeros(len(pairs), dtype=np.int64)
-        seen[known] = self.bigram_counts(pairs[known])
-        seen = seen[place]
-        context = np.maximum(total[before], 1)
-        high = np.maximum(seen - self.high[np.minimum(seen, 3)], 0) / context
-        chance = np.where(total[before] > 0, high + rest[before] * lower[own], lower[own])
+        places = ids
+        for m, tails, sample, place, context, word in self.grams(own, first, int(np.searchsorted(distinct, END)), ids, self.order if self.words else 1):
+            found = self.places(m, places[context], ids[word])
+            (seen,) = self.of_places(f"counts{m}", found, "")
+            cut = self.cuts[m][np.minimum(seen, 3)]
+            t, lower = total[context], chance[sample]
+            chance[tails] = np.where(t > 0, np.maximum(seen - cut, 0) / np.maximum(t, 1) + rest[context] * lower, lower)[place]
+            places = found
+            if m < self.order:
+                total, rest = self.left(m, places)
         at = first[:-1]
         return {
             "n_tokens": np.diff(first), "n_known": np.add.reduceat((count > 0)[own].astype(np.int64), at),
             "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(chance), at),
         }
 
+    def left(self, m: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the contexts at places, and the weights that they leave to the lower order."""
+        total, n1, n2, n3 = self.of_places(f"after{m}", places, "total_", "n1_", "n2_", "n3_")
+        cut = self.cuts[m + 1]
+        return total, (n1 * cut[1] + n2 * cut[2] + n3 * cut[3]) / np.maximum(total, 1)
+
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """[0, D1, D2, D3+] from the numbers of things counted 1, 2, 3 and 4 times; where these are
@@ -230,30 +328,35 @@ def _count_words(bits: int):
     return run
 
 
-def _count_pairs(shared):
+def _count_grams(shared, m: int):
+    """Blocks of n-grams of ``m`` words: bigrams by ranges, longer ones by the file of their context."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, bounds = shared.value
-        keys, counts, n = [], [], 0
+        buckets, keys, counts, n = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            key, count = _summed(keys, counts)
-            return _blocks(key, count, np.searchsorted(bounds, key, side="right") - 1)
+            bucket, key, count = _summed_by_bucket(buckets, keys, counts)
+            return _blocks(key, count, bucket)
 
         for b in slices(batches, "text"):
             h, first = tokens(words_of(binary(b.column("text")), lower=True))
             distinct, own = np.unique(h, return_inverse=True)
             ids = model.ids(distinct)
-            end = int(np.searchsorted(distinct, END))
-            before = np.concatenate(([end], own[:-1]))
-            before[first[:-1]] = end
-            k, c = np.unique((ids[before] << U64(32)) | ids[own], return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            n += len(k)
+            places = ids
+            for length, _, _, place, context, word in model.grams(own, first, int(np.searchsorted(distinct, END)), ids, m):
+                if length < m:
+                    places = model.places(length, places[context], ids[word])
+                    continue
+                key = ((places[context] & LOW) << U64(32)) | ids[word]
+                buckets.append((np.searchsorted(bounds, key, side="right") - 1 if m == 2 else (places[context] >> U64(32))).astype(np.int32))
+                keys.append(key)
+                counts.append(np.bincount(place, minlength=len(key)))
+                n += len(key)
             if n >= FLUSH_TOKENS:
                 yield out()
-                keys, counts, n = [], [], 0
-        if keys:
+                buckets, keys, counts, n = [], [], [], 0
+        if n:
             yield out()
 
     return run
@@ -270,11 +373,14 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
         yield k, *_summed([p[0] for p in parts], [p[1] for p in parts])
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count ``docs`` and write the model; a null text is an empty one (one end token)."""
+def train(docs: DataFrame, order: int = 3, text_col: str = "text") -> Model:
+    """Count ``docs`` and write a model of n-grams of up to ``order`` words (1 or more); a null text
+    is an empty one (one end token)."""
+    if order < 1:
+        raise ValueError(f"order {order}; 1 is the least")
     spark: SparkSession = docs.sparkSession
     base = shared_dir(spark, "kneser-ney")
-    model = Model(base)
+    model = Model(base, order)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     parts = shuffle_partitions(spark)
     model.bits = bits = max(0, int(np.ceil(np.log2(parts))))
@@ -317,31 +423,60 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     jobs = spark.createDataFrame([(int(k), int(before[k])) for k in np.flatnonzero(sizes)], "bucket int, before long").repartition(min(parts, 64))
     found = np.sort(np.array([r["key"] for r in jobs.mapInArrow(borders, "key long").collect()], dtype=np.int64).view(U64))  # `buckets` numbers
     bounds = np.unique(np.concatenate((np.zeros(1, U64), found)))
-    shared = spark.sparkContext.broadcast((model, bounds))
-
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, key, count in _by_bucket(batches):
-            put_file(f"{base}/pairs-{k}", _dump(key=key, count=_narrow(count)))
-            low = np.minimum(count, 5)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(["n"]), "part": pa.array([k], pa.int32()), "data": pa.array([np.bincount(low, minlength=6).astype("<i8").tobytes()], pa.binary())})
-            # per context: tokens and the numbers of followers seen 1, 2, 3+ times
-            context = (key >> U64(32)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            kinds = [np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2, count >= 3)]
-            yield from _dealt("context", model.first, context[at], np.stack(kinds, axis=1))
-            # per word: in how many contexts
-            word, times = np.unique((key & U64(UNKNOWN)).astype(np.int64), return_counts=True)
-            yield from _dealt("word", model.first, word, times[:, None])
-
-    pairs = texts.mapInArrow(_count_pairs(shared), _PACK)
-    stats = stored(pairs.repartition("bucket").mapInArrow(write_pairs, "kind string, part int, data binary"), "pair-stats")
-    n = np.zeros(6, np.int64)  # how many were counted 0, 1, 2, 3, 4 and more times
-    have = []
-    for r in stats.filter("kind = 'n'").collect():  # one row per bigram file
-        have.append(r["part"])
-        n += np.frombuffer(bytes(r["data"]), "<i8")
-    model.edges, model.high = bounds[np.sort(have)], discounts(n[1:5])
-    model.files = sorted(have)
+    spark_context = spark.sparkContext
+    def write_grams(m: int):
+        counts = "counts" if m == order else "raw"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, key, count in _by_bucket(batches):
+                if len(key) >= UNKNOWN:
+                    raise ValueError(f"{len(key)} n-grams in one file; places have 32 bits: use more shuffle partitions")
+                context = (key >> U64(32)).astype(np.int64)
+                least, contexts = (int(context[0]), int(context[-1] - context[0]) + 1) if m == 2 else (0, len(model.arrays(f"grams{m - 1}-{k}")["word"]))
+                put_file(f"{base}/grams{m}-{k}", _dump(word=(key & LOW).astype(np.uint32), start=_starts(context - least, contexts), base=np.array([least])))
+                put_file(f"{base}/{counts}{m}-{k}", _dump(**_bytes(count)))
+                yield from _stats(model, m, k, count if m == order else None)
+
+        return run
+
+    def write_counts(m: int):
+        """Numbers of different words before n-grams; none is before a text's end, whose n-grams keep theirs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, key, times in _by_bucket(batches):
+                count = _wide(model.arrays(f"raw{m}-{k}"))
+                context, start = (key >> U64(32)).astype(np.int64), model.arrays(f"grams{m}-{k}")
+                own = context - int(start["base"][0])
+                place, _ = _find(start["word"], start["start"][own].astype(np.int64), start["start"][own + 1].astype(np.int64), key & LOW)
+                count[place[times > 0]] = times[times > 0]
+                put_file(f"{base}/counts{m}-{k}", _dump(**_bytes(count)))
+                yield from _stats(model, m, k, count)
+
+        return run
+
+    stat = "kind string, part int, data binary"
+    files = list(range(len(bounds)))  # the same numbers at each length
+    have: dict[int, list[int]] = {}  # those that are not empty
+    if order == 1:
+        jobs = spark.createDataFrame([(int(k),) for k in np.flatnonzero(sizes)], "bucket int").repartition(min(parts, 64))
+        stats = stored(jobs.mapInArrow(_word_stats(model), stat), "gram-stats")
+    for m in range(2, order + 1):
+        grams = texts.mapInArrow(_count_grams(spark_context.broadcast((model, bounds)), m), _PACK)
+        stats = stored(grams.repartition("bucket").mapInArrow(write_grams(m), stat), "gram-stats")
+        have[m] = [r["part"] for r in stats.filter("kind = 'n'").select("part").collect()]  # one row per file
+        for k in set(files) - set(have[m]):
+            put_file(f"{base}/grams{m}-{k}", _dump(word=np.zeros(0, np.uint32), start=np.zeros(1, np.uint32), base=np.zeros(1, np.int64)))
+        if m == 2:
+            model.edges = bounds
+        if m == order:
+            model.cuts[m] = _cuts(stats)
+    for m in range(order - 1, 1, -1):
+        jobs = spark.createDataFrame([(k, True) for k in have[m + 1]] + [(k, False) for k in have[m]], "bucket int, source boolean").repartition(min(4 * parts, len(files)))
+        before = jobs.mapInArrow(_preceded(spark_context.broadcast(model), m), _PACK)
+        stats = stored(before.repartition("bucket").mapInArrow(write_counts(m), stat), "gram-stats")
+        model.cuts[m] = _cuts(stats)
+    for m in range(2, order):
+        spark.createDataFrame([(k,) for k in have[m]], "bucket int").repartition(min(4 * parts, len(files))).mapInArrow(_write_after(model, m), "bucket int").count()
 
     merged = stats.filter("kind <> 'n'")
     counts = merged.filter("kind = 'word'").groupBy("part").applyInArrow(_word_counts(model), "part int, data binary")
@@ -359,6 +494,93 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return model
 
 
+def _stats(model: Model, m: int, k: int, count: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of file ``k``: how many n-grams were counted 0, 1, 2, 3, 4 and more times; of bigrams also
+    per context its total and its numbers of followers counted 1, 2, 3+ times, and per word in how
+    many contexts it is.  Without counts yet only the first, empty."""
+    low = np.zeros(6, np.int64) if count is None else np.bincount(np.minimum(count, 5), minlength=6)
+    yield pa.RecordBatch.from_pydict({"kind": pa.array(["n"]), "part": pa.array([k], pa.int32()), "data": pa.array([low.astype("<i8").tobytes()], pa.binary())})
+    if m == 2 and count is not None:
+        g = model.arrays(f"grams2-{k}")
+        sizes = np.diff(g["start"].astype(np.int64))
+        context = np.flatnonzero(sizes)
+        at = g["start"][context].astype(np.int64)
+        kinds = [np.add.reduceat(x.astype(np.int64), at) for x in (count, count == 1, count == 2, count >= 3)]
+        yield from _dealt("context", model.first, context + int(g["base"][0]), np.stack(kinds, axis=1))
+        word, times = np.unique(g["word"].astype(np.int64), return_counts=True)
+        yield from _dealt("word", model.first, word, times[:, None])
+
+
+def _word_stats(model: Model):
+    """Per word its count, which stands for the contexts where the order is 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("bucket").to_pylist():
+                count = model.arrays(f"words-{k}")["count"]
+                yield from _dealt("word", model.first, np.arange(len(count)) + int(model.first[k]), count[:, None])
+
+    return run
+
+
+def _cuts(stats: DataFrame) -> np.ndarray:
+    n = sum(np.frombuffer(bytes(r["data"]), "<i8") for r in stats.filter("kind = 'n'").collect())  # one row per file
+    return discounts(n[1:5])
+
+
+def _preceded(shared, m: int):
+    """Blocks of the n-grams of ``m`` words at the end of those of ``m + 1``, with how many these are;
+    files that are no source send their first n-gram with 0, so that each is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+
+        def contexts(g: dict[str, np.ndarray]) -> np.ndarray:
+            return np.repeat(np.arange(len(g["start"]) - 1), np.diff(g["start"].astype(np.int64)))
+
+        def suffix(length: int, k: int) -> np.ndarray:
+            """Id or place of each n-gram without its first word."""
+            g = model.arrays(f"grams{length}-{k}")
+            word = g["word"].astype(U64)
+            return word if length == 2 else model.places(length - 1, suffix(length - 1, k)[contexts(g)], word)
+
+        for b in batches:
+            for k, source in zip(b.column("bucket").to_pylist(), b.column("source").to_pylist(), strict=True):
+                if not source:
+                    g = model.arrays(f"grams{m}-{k}")
+                    key = (U64(contexts(g)[0] + int(g["base"][0])) << U64(32)) | U64(g["word"][0])
+                    yield _blocks(np.array([key], U64), np.zeros(1, np.int64), np.array([k]))
+                    continue
+                g = model.arrays(f"grams{m + 1}-{k}")
+                context, word = suffix(m, k)[contexts(g)], g["word"].astype(U64)
+                key = ((context & LOW) << U64(32)) | word
+                bucket = (np.searchsorted(model.edges, key, side="right") - 1 if m == 2 else context >> U64(32)).astype(np.int32)
+                bucket, key, times = _summed_by_bucket([bucket], [key], [np.ones(len(key), np.int64)])
+                yield _blocks(key, times, bucket)
+
+    return run
+
+
+def _write_after(model: Model, m: int):
+    """For n-grams of ``m`` words as contexts: totals, and followers counted 1, 2, 3+ times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("bucket").to_pylist():
+                start = model.arrays(f"grams{m + 1}-{k}")["start"].astype(np.int64)
+                kinds = np.zeros((4, len(model.arrays(f"grams{m}-{k}")["word"])), np.int64)
+                context = np.flatnonzero(np.diff(start))
+                if len(context):
+                    count = _wide(model.arrays(f"counts{m + 1}-{k}"))
+                    for out, x in zip(kinds, (count, count == 1, count == 2, count >= 3), strict=True):
+                        out[context] = np.add.reduceat(x.astype(np.int64), start[context])
+                packed = {f"{name}_{part}": x for name, out in zip(("total", "n1", "n2", "n3"), kinds, strict=True) for part, x in _bytes(out).items()}
+                put_file(f"{model.base}/after{m}-{k}", _dump(**packed))
+            yield b
+
+    return run
+
+
 def _dealt(kind: str, first: np.ndarray, ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (kind, part, data): ascending ids and their values, by vocabulary file."""
     part = np.searchsorted(first, ids, side="right") - 1
@@ -400,7 +622,7 @@ def _write_model(model: Model):
         times = _sums(model, part, [d for d, k in zip(data, kind, strict=True) if k == "word"], 1)[:, 0]
         seen = _sums(model, part, [d for d, k in zip(data, kind, strict=True) if k == "context"], 4)
         lower = np.maximum(times - model.low[np.minimum(times, 3)], 0) / model.low_total + model.low_rest / (model.words + 1)
-        rest = (seen[:, 1:] @ model.high[1:]) / np.maximum(seen[:, 0], 1)
+        rest = (seen[:, 1:] @ model.cuts.get(2, model.low)[1:]) / np.maximum(seen[:, 0], 1)
         put_file(f"{model.base}/model-{part}", _dump(lower=lower, total=seen[:, 0].astype(float), rest=rest))
         return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([b""], pa.binary())})
 

@@ -13,41 +13,44 @@ from tests.llm.conftest import words
 END = b"\0end"
 
 
-def brute(train_texts):
-    """(chance of b after a, base chance, known words, tokens) of a plain dictionary model."""
-    c1, c2 = Counter(), Counter()
+def brute(train_texts, order):
+    """(chance of a token after those before it, base chance, known words, tokens) of a plain model."""
+    raw = defaultdict(Counter)
     for t in train_texts:
         w = [END, *(t or "").encode().lower().split(), END]
-        c1.update(w[1:])
-        c2.update(zip(w, w[1:], strict=False))
-    n, v = sum(c1.values()), len(c1)
-    spread = lambda x: discounts([sum(1 for y in x.values() if y == k) for k in (1, 2, 3, 4)])
-    d, heads = spread(c2), Counter(b for _, b in c2)
-    low = spread(heads)
-    rest = sum(low[min(x, 3)] for x in heads.values()) / len(c2)
+        for m in range(1, order + 1):
+            raw[m].update(tuple(w[i - m + 1 : i + 1]) for i in range(max(1, m - 1), len(w)))
+    counts = {order: raw[order]}
+    for m in range(1, order):
+        before = Counter(g[1:] for g in raw[m + 1])
+        counts[m] = Counter({g: before[g] if m == 1 or g[0] != END else raw[m][g] for g in raw[m]})
+    cut = {m: discounts([sum(1 for y in c.values() if y == k) for k in (1, 2, 3, 4)]) for m, c in counts.items()}
     total, left = Counter(), defaultdict(float)
-    for (a, _), x in c2.items():
-        total[a] += x
-        left[a] += d[min(x, 3)]
+    for m, c in counts.items():
+        for g, x in c.items():
+            total[m, g[:-1]] += x
+            left[m, g[:-1]] += cut[m][min(x, 3)]
+    v, n = len(raw[1]), sum(raw[1].values())
 
-    def lower(b):
-        return max(heads[b] - low[min(heads[b], 3)], 0) / len(c2) + rest / (v + 1)
+    def chance(g):
+        m, context = len(g), g[:-1]
+        lower = chance(g[1:]) if m > 1 else 1 / (v + 1)
+        if not total[m, context]:
+            return lower
+        x = counts[m][g]
+        return (max(x - cut[m][min(x, 3)], 0) + left[m, context] * lower) / total[m, context]
 
-    def chance(a, b):
-        if not total[a]:
-            return lower(b)
-        return max(c2[a, b] - d[min(c2[a, b], 3)], 0) / total[a] + left[a] / total[a] * lower(b)
+    return chance, lambda b: (raw[1][b,] + 1) / (n + v + 1), {g[0] for g in raw[1]}, n
 
-    return chance, lambda b: (c1[b] + 1) / (n + v + 1), c1, n
 
-
-def test_scores(make_docs, texts, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores(make_docs, texts, monkeypatch, order):
     monkeypatch.setattr(module, "FLUSH_TOKENS", 400)
     rng = random.Random(3)
-    rows = texts + [(100 + i, words(rng, rng.randint(0, 90))) for i in range(80)]
+    rows = texts + [(100 + i, words(rng, rng.randint(0, 90))) for i in range(80)] + [(200 + i, "w1 w2 w3 w4 w1 w2") for i in range(400)]
     docs = make_docs(rows, extra=True).repartition(6)
-    model = train(docs.filter("doc_id >= 100 and doc_id % 5 <> 0"))
-    chance, base, known, n = brute([t for i, t in rows if i is not None and i >= 100 and i % 5])
+    model = train(docs.filter("doc_id >= 100 and doc_id % 5 <> 0"), order)
+    chance, base, known, n = brute([t for i, t in rows if i is not None and i >= 100 and i % 5], order)
     got = score_documents(docs.withColumn("place", F.xxhash64("text")), model).collect()
     assert len(got) == len(rows)
     by_id = {r["doc_id"]: r for r in got}
@@ -58,8 +61,9 @@ def test_scores(make_docs, texts, monkeypatch):
         r = by_id[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) - 1, sum(b in known for b in w[1:]), n)
         assert r["base_score"] == pytest.approx(sum(math.log10(base(b)) for b in w[1:]))
-        assert r["score"] == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip(w, w[1:], strict=False)))
-    assert sum(chance(b"w1", b) for b in known) + chance(b"w1", b"never seen") == pytest.approx(1)
+        assert r["score"] == pytest.approx(sum(math.log10(chance(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(1, len(w))))
+    before = (b"w4", b"w2", b"w1")[3 - order + 1 :] if order > 1 else ()
+    assert sum(chance((*before, b)) for b in known) + chance((*before, b"never seen")) == pytest.approx(1)
 
 
 def test_nothing_to_learn_from(make_docs):
@@ -69,6 +73,17 @@ def test_nothing_to_learn_from(make_docs):
     assert r[1]["n_tokens"] == 1 and score_documents(make_docs([]), model).count() == 0
 
 
+def test_files_without_longer_ngrams(make_docs):
+    model = train(make_docs([(1, "a"), (2, None), (3, "b")]), 4)
+    r = score_documents(make_docs([(1, "a"), (2, "b a b a c"), (3, "")]), model).orderBy("doc_id").collect()
+    chance, *_ = brute(["a", None, "b"], 4)
+    for x, t in zip(r, ("a", "b a b a c", ""), strict=True):
+        w = [END, *t.encode().split(), END]
+        assert x["score"] == pytest.approx(sum(math.log10(chance(tuple(w[max(0, i - 3) : i + 1]))) for i in range(1, len(w))))
+    with pytest.raises(ValueError):
+        train(make_docs([]), 0)
+
+
 def test_discounts():
     assert discounts([0, 0, 0, 0]).tolist() == [0, 0.5, 1, 1.5]
     d = discounts([100, 40, 20, 10])
@@ -81,6 +96,9 @@ def test_counts_over_32_bits_stay_whole():
     count = np.array([1, 2**32 + 7, 2**40], np.int64)
     for part in (module._expand(module._squeeze(key, count)), module._summed([key, key], [count - 1, np.ones(3, np.int64)])):
         assert part[0].tolist() == key.tolist() and part[1].tolist() == count.tolist()
+    packed = module._bytes(np.concatenate((count, [254, 255])))
+    assert module._wide(packed).tolist() == [*count.tolist(), 254, 255]
+    assert module._wide(packed, np.array([4, 1, 0])).tolist() == [255, 2**32 + 7, 1]
     assert module._narrow(count).tolist() == count.tolist() and module._narrow(count[:1]).dtype == np.uint32
     (batch,) = module._dealt("context", np.array([0, 10]), np.array([2, 4]), np.array([[2**33, 1], [3, 2**34]]))
     ids, values = module._load(batch.column("data")[0].as_py())
