@@ -524,7 +524,7 @@ def _word_stats(model: Model):
 
 
 def _cuts(stats: DataFrame) -> np.ndarray:
-    n = sum(np.frombuffer(bytes(r["data"]), "<i8") for r in stats.filter("kind = 'n'").collect())  # one row per file
+    n = sum((np.frombuffer(bytes(r["data"]), "<i8") for r in stats.filter("kind = 'n'").collect()), np.zeros(6, np.int64))  # one row per file
     return discounts(n[1:5])
 
 
