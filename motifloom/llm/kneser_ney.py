@@ -36,6 +36,7 @@ from motifloom.llm._text import U64, Words, binary, slices, words_of
 
 END = U64(0x9AE16A3B2F90404F)  # stands for the end of a text among the hashes of words
 FLUSH_TOKENS = 3_000_000
+FILE_TOKENS = 1 << 18  # least tokens of a file of n-grams, so that small inputs have few files
 UNKNOWN = 0xFFFFFFFF
 MISSING = U64(0xFFFFFFFFFFFFFFFF)  # place of an n-gram that is not in the model
 LOW = U64(0xFFFFFFFF)
@@ -405,7 +406,7 @@ def train(docs: DataFrame, order: int = 3, text_col: str = "text") -> Model:
         return model
 
     # borders of equal mass among the bigram keys: contexts by their counts, a heavy context by word
-    buckets = 4 * parts
+    buckets = max(1, min(4 * parts, model.train_tokens // FILE_TOKENS))
     step = model.train_tokens / buckets
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +472,7 @@ def train(docs: DataFrame, order: int = 3, text_col: str = "text") -> Model:
         if m == order:
             model.cuts[m] = _cuts(stats)
     for m in range(order - 1, 1, -1):
-        jobs = spark.createDataFrame([(k, True) for k in have[m + 1]] + [(k, False) for k in have[m]], "bucket int, source boolean").repartition(min(4 * parts, len(files)))
+        jobs = spark.createDataFrame([(k, True) for k in have[m + 1]] + [(k, False) for k in have[m]], "bucket int, source boolean").repartition(min(parts, len(files)))
         before = jobs.mapInArrow(_preceded(spark_context.broadcast(model), m), _PACK)
         stats = stored(before.repartition("bucket").mapInArrow(write_counts(m), stat), "gram-stats")
         model.cuts[m] = _cuts(stats)
@@ -544,19 +545,32 @@ def _preceded(shared, m: int):
             word = g["word"].astype(U64)
             return word if length == 2 else model.places(length - 1, suffix(length - 1, k)[contexts(g)], word)
 
+        buckets, keys, times, n = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            bucket, key, count = _summed_by_bucket(buckets, keys, times)
+            return _blocks(key, count, bucket)
+
         for b in batches:
             for k, source in zip(b.column("bucket").to_pylist(), b.column("source").to_pylist(), strict=True):
-                if not source:
-                    g = model.arrays(f"grams{m}-{k}")
-                    key = (U64(contexts(g)[0] + int(g["base"][0])) << U64(32)) | U64(g["word"][0])
-                    yield _blocks(np.array([key], U64), np.zeros(1, np.int64), np.array([k]))
-                    continue
-                g = model.arrays(f"grams{m + 1}-{k}")
-                context, word = suffix(m, k)[contexts(g)], g["word"].astype(U64)
-                key = ((context & LOW) << U64(32)) | word
-                bucket = (np.searchsorted(model.edges, key, side="right") - 1 if m == 2 else context >> U64(32)).astype(np.int32)
-                bucket, key, times = _summed_by_bucket([bucket], [key], [np.ones(len(key), np.int64)])
-                yield _blocks(key, times, bucket)
+                g = model.arrays(f"grams{m + source}-{k}")
+                context, word = contexts(g), g["word"].astype(U64)
+                if source:
+                    context = suffix(m, k)[context]
+                    key = ((context & LOW) << U64(32)) | word
+                    bucket = (np.searchsorted(model.edges, key, side="right") - 1 if m == 2 else context >> U64(32)).astype(np.int32)
+                else:
+                    key = ((context[:1] + int(g["base"][0])).astype(U64) << U64(32)) | word[:1]
+                    bucket = np.full(1, k, np.int32)
+                buckets.append(bucket)
+                keys.append(key)
+                times.append(np.full(len(key), int(source)))
+                n += len(key)
+                if n >= FLUSH_TOKENS:
+                    yield out()
+                    buckets, keys, times, n = [], [], [], 0
+        if n:
+            yield out()
 
     return run
 

@@ -46,6 +46,7 @@ def brute(train_texts, order):
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores(make_docs, texts, monkeypatch, order):
     monkeypatch.setattr(module, "FLUSH_TOKENS", 400)
+    monkeypatch.setattr(module, "FILE_TOKENS", 100)
     rng = random.Random(3)
     rows = texts + [(100 + i, words(rng, rng.randint(0, 90))) for i in range(80)] + [(200 + i, "w1 w2 w3 w4 w1 w2") for i in range(400)]
     docs = make_docs(rows, extra=True).repartition(6)
