@@ -36,6 +36,7 @@ from motifloom.llm._text import U64, Words, binary, slices, words_of
 
 END = U64(0x9AE16A3B2F90404F)  # stands for the end of a text among the hashes of words
 FLUSH_TOKENS = 3_000_000
+SLICE_BYTES = 1 << 22  # of text at once
 FILE_TOKENS = 1 << 18  # least tokens of a file of n-grams, so that small inputs have few files
 UNKNOWN = 0xFFFFFFFF
 MISSING = U64(0xFFFFFFFFFFFFFFFF)  # place of an n-gram that is not in the model
@@ -102,31 +103,42 @@ def _summed_by_bucket(buckets: list[np.ndarray], keys: list[np.ndarray], counts:
 
 
 def _bytes(count: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts as one byte each; those of 255 and more apart."""
-    at = np.flatnonzero(count >= 255)
-    return {"small": np.minimum(count, 255).astype(np.uint8), "at": at, "large": count[at].astype(np.int64)}
-
-
-def _wide(a: dict[str, np.ndarray], at: np.ndarray | None = None, prefix: str = "") -> np.ndarray:
-    """Counts that `_bytes` has packed, all or those at given places."""
-    small = a[prefix + "small"]
-    out = (small if at is None else small[at]).astype(np.int64)
-    big = np.flatnonzero(out == 255)
-    if len(big):
-        out[big] = a[prefix + "large"][np.searchsorted(a[prefix + "at"], big if at is None else at[big])]
+    """Counts (rows of one or more) as one byte each; those of 255 and more apart."""
+    flat = count.ravel()
+    at = np.flatnonzero(flat >= 255)
+    return {"small": np.minimum(flat, 255).astype(np.uint8), "at": at, "large": flat[at].astype(np.int64)}
+
+
+def _wide(a: dict[str, np.ndarray], at: np.ndarray | slice = slice(None), width: int = 1) -> np.ndarray:
+    """Rows of ``width`` counts that `_bytes` has packed, all or those at given places."""
+    out = a["small"].reshape(-1, width)[at].astype(np.int64)
+    row, column = np.nonzero(out == 255)
+    if len(row):
+        place = row if isinstance(at, slice) else at[row]
+        out[row, column] = a["large"][np.searchsorted(a["at"], place * width + column)]
     return out
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, a place of each, and which one is at each place."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return key[new], order[new], place
+
+
 def _find(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where ``want`` lies in the ascending stretches ``words[lo:hi]``, and whether it is there."""
     lo, end, hi = lo.copy(), hi, hi.copy()
-    live = np.flatnonzero(lo < hi)
+    live = np.flatnonzero(hi - lo > 1)
     while len(live):
         mid = (lo[live] + hi[live]) >> 1
         less = words[mid] < want[live]
         lo[live[less]] = mid[less] + 1
         hi[live[~less]] = mid[~less]
-        live = live[lo[live] < hi[live]]
+        live = live[lo[live] < hi[live]]  # a single one is compared below
     ok = lo < end
     ok[ok] = words[lo[ok]] == want[ok]
     return lo, ok
@@ -135,8 +147,9 @@ def _find(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -
 def _by_file(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each file's number and the places that hold it."""
     order = np.argsort(where, kind="stable")
-    files, at = np.unique(where[order], return_index=True)
-    yield from zip(files.tolist(), np.split(order, at[1:]), strict=False)
+    where = where[order]
+    at = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))[: len(where)]
+    yield from zip(where[at].tolist(), np.split(order, at[1:]), strict=False)
 
 
 def _starts(context: np.ndarray, contexts: int) -> np.ndarray:
@@ -186,7 +199,7 @@ class Model:
                     np.lib.format.read_magic(f)
                     shape, _, dtype = np.lib.format.read_array_header_1_0(f)
                     at, n = f.tell(), int(np.prod(shape))
-                    out[key] = np.memmap(path, dtype, "r", at, (n,)) if n else np.zeros(0, dtype)
+                    out[key] = np.memmap(path, dtype, "r", at, (n,)).view(np.ndarray) if n else np.zeros(0, dtype)
                     f.seek(at + n * dtype.itemsize)
             self._open[name] = out
         return self._open[name]
@@ -233,16 +246,13 @@ class Model:
             out[known[mine[ok]]] = (U64(n) << U64(32)) | place[ok].astype(U64)
         return out
 
-    def of_places(self, kind: str, places: np.ndarray, *prefixes: str) -> list[np.ndarray]:
-        """Packed counts of the files ``kind``-n at places; 0 where MISSING."""
-        out = [np.zeros(len(places), np.int64) for _ in prefixes]
+    def of_places(self, kind: str, places: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of ``width`` packed counts of the files ``kind``-n at places; 0 where MISSING."""
+        out = np.zeros((len(places), width), np.int64)
         known = np.flatnonzero(places != MISSING)
-        where = (places[known] >> U64(32)).astype(np.int64)
-        for n, mine in _by_file(where):
+        for n, mine in _by_file((places[known] >> U64(32)).astype(np.int64)):
             mine = known[mine]
-            own, table = (places[mine] & LOW).astype(np.int64), self.arrays(f"{kind}-{n}")
-            for o, prefix in zip(out, prefixes, strict=True):
-                o[mine] = _wide(table, own, prefix)
+            out[mine] = _wide(self.arrays(f"{kind}-{n}"), (places[mine] & LOW).astype(np.int64), width)
         return out
 
     def grams(self, own: np.ndarray, first: np.ndarray, end: int, ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,7 +266,7 @@ class Model:
             context = before[np.maximum(at - 1, 0)]
             if m == 2:
                 context[rank[at] == 0] = end
-            key, sample, place = np.unique((context.astype(U64) << U64(32)) | own[at].astype(U64), return_index=True, return_inverse=True)
+            key, sample, place = _distinct((context.astype(U64) << U64(32)) | own[at].astype(U64))
             yield m, at, at[sample], place, (key >> U64(32)).astype(np.int64), (key & LOW).astype(np.int64)
             before = np.zeros(len(own), np.int64)
             before[at] = place
@@ -274,7 +284,7 @@ class Model:
         places = ids
         for m, tails, sample, place, context, word in self.grams(own, first, int(np.searchsorted(distinct, END)), ids, self.order if self.words else 1):
             found = self.places(m, places[context], ids[word])
-            (seen,) = self.of_places(f"counts{m}", found, "")
+            seen = self.of_places(f"counts{m}", found)[:, 0]
             cut = self.cuts[m][np.minimum(seen, 3)]
             t, lower = total[context], chance[sample]
             chance[tails] = np.where(t > 0, np.maximum(seen - cut, 0) / np.maximum(t, 1) + rest[context] * lower, lower)[place]
@@ -289,9 +299,8 @@ class Model:
 
     def left(self, m: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals of the contexts at places, and the weights that they leave to the lower order."""
-        total, n1, n2, n3 = self.of_places(f"after{m}", places, "total_", "n1_", "n2_", "n3_")
-        cut = self.cuts[m + 1]
-        return total, (n1 * cut[1] + n2 * cut[2] + n3 * cut[3]) / np.maximum(total, 1)
+        after = self.of_places(f"after{m}", places, 4)
+        return after[:, 0], after[:, 1:] @ self.cuts[m + 1][1:] / np.maximum(after[:, 0], 1)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -314,7 +323,7 @@ def _count_words(bits: int):
             key, count = _summed(keys, counts)
             return _blocks(key, count, (key >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64))
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, _ = tokens(words_of(binary(b.column("text")), lower=True))
             k, c = np.unique(h, return_counts=True)
             keys.append(k)
@@ -340,7 +349,7 @@ def _count_grams(shared, m: int):
             bucket, key, count = _summed_by_bucket(buckets, keys, counts)
             return _blocks(key, count, bucket)
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, first = tokens(words_of(binary(b.column("text")), lower=True))
             distinct, own = np.unique(h, return_inverse=True)
             ids = model.ids(distinct)
@@ -445,7 +454,7 @@ def train(docs: DataFrame, order: int = 3, text_col: str = "text") -> Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, key, times in _by_bucket(batches):
-                count = _wide(model.arrays(f"raw{m}-{k}"))
+                count = _wide(model.arrays(f"raw{m}-{k}"))[:, 0]
                 context, start = (key >> U64(32)).astype(np.int64), model.arrays(f"grams{m}-{k}")
                 own = context - int(start["base"][0])
                 place, _ = _find(start["word"], start["start"][own].astype(np.int64), start["start"][own + 1].astype(np.int64), key & LOW)
@@ -582,14 +591,13 @@ def _write_after(model: Model, m: int):
         for b in batches:
             for k in b.column("bucket").to_pylist():
                 start = model.arrays(f"grams{m + 1}-{k}")["start"].astype(np.int64)
-                kinds = np.zeros((4, len(model.arrays(f"grams{m}-{k}")["word"])), np.int64)
+                after = np.zeros((len(model.arrays(f"grams{m}-{k}")["word"]), 4), np.int64)
                 context = np.flatnonzero(np.diff(start))
                 if len(context):
-                    count = _wide(model.arrays(f"counts{m + 1}-{k}"))
-                    for out, x in zip(kinds, (count, count == 1, count == 2, count >= 3), strict=True):
-                        out[context] = np.add.reduceat(x.astype(np.int64), start[context])
-                packed = {f"{name}_{part}": x for name, out in zip(("total", "n1", "n2", "n3"), kinds, strict=True) for part, x in _bytes(out).items()}
-                put_file(f"{model.base}/after{m}-{k}", _dump(**packed))
+                    count = _wide(model.arrays(f"counts{m + 1}-{k}"))[:, 0]
+                    for column, x in enumerate((count, count == 1, count == 2, count >= 3)):
+                        after[context, column] = np.add.reduceat(x.astype(np.int64), start[context])
+                put_file(f"{model.base}/after{m}-{k}", _dump(**_bytes(after)))
             yield b
 
     return run
@@ -658,7 +666,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", SLICE_BYTES):
             s = m.score(words_of(binary(b.column("__text")), lower=True))
             columns = [pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()), pa.array(np.full(b.num_rows, m.train_tokens), pa.int64()), pa.array(s["base_score"], pa.float64()), pa.array(s["score"], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *columns], names=[*names, *new])

@@ -98,8 +98,10 @@ def test_counts_over_32_bits_stay_whole():
     for part in (module._expand(module._squeeze(key, count)), module._summed([key, key], [count - 1, np.ones(3, np.int64)])):
         assert part[0].tolist() == key.tolist() and part[1].tolist() == count.tolist()
     packed = module._bytes(np.concatenate((count, [254, 255])))
-    assert module._wide(packed).tolist() == [*count.tolist(), 254, 255]
-    assert module._wide(packed, np.array([4, 1, 0])).tolist() == [255, 2**32 + 7, 1]
+    assert module._wide(packed)[:, 0].tolist() == [*count.tolist(), 254, 255]
+    assert module._wide(packed, np.array([4, 1, 0]))[:, 0].tolist() == [255, 2**32 + 7, 1]
+    rows = np.array([[1, 300], [255, 2], [2**40, 0]])
+    assert module._wide(module._bytes(rows), np.array([2, 0]), 2).tolist() == rows[[2, 0]].tolist()
     assert module._narrow(count).tolist() == count.tolist() and module._narrow(count[:1]).dtype == np.uint32
     (batch,) = module._dealt("context", np.array([0, 10]), np.array([2, 4]), np.array([[2**33, 1], [3, 2**34]]))
     ids, values = module._load(batch.column("data")[0].as_py())
