@@ -429,15 +429,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     # a root is named by its smallest id, so nothing has to be looked up by component
     reached = roots.select(F.col("node.cls").alias("cls"), F.when(~F.col("root.unnamed"), F.col("root.least")).alias("reached"), F.lit(True).alias("linked"))
-    # a text with more than a thousandth of all rows, so one of under a thousand, is dealt to many tasks
-    often = F.col("copies") > max(HOT_ROWS, (classes.agg(F.sum("copies")).first()[0] or 0) // 1000)
     component = F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id")
-    salts = F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    named = classes.join(reached, "cls", "left").select(F.col("cls").alias("named"), component, F.explode(salts).alias("of_salt"))
-    hot = F.broadcast(classes.filter(often).select(F.col("cls").alias("hot")))
-    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = rows.join(hot, F.col("cls") == F.col("hot"), "left").withColumn("salt", salt)
-    met = dealt.join(named, (F.col("cls") == F.col("named")) & (F.col("salt") == F.col("of_salt")), "left")
+    named = classes.join(reached, "cls", "left").select(F.col("cls").alias("named"), component, "copies")
+    # a text with more than a thousandth of all rows, so one of under a thousand, is dealt to many tasks
+    total, most = classes.agg(F.sum("copies"), F.max("copies")).first()
+    limit = max(HOT_ROWS, (total or 0) // 1000)
+    if (most or 0) > limit:
+        often = F.col("copies") > limit
+        salts = F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        named = named.select("named", "component_id", F.explode(salts).alias("of_salt"))
+        hot = F.broadcast(classes.filter(often).select(F.col("cls").alias("hot")))
+        salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+        dealt = rows.join(hot, F.col("cls") == F.col("hot"), "left").withColumn("salt", salt)
+        met = dealt.join(named, (F.col("cls") == F.col("named")) & (F.col("salt") == F.col("of_salt")), "left")
+    else:
+        met = rows.join(named, F.col("cls") == F.col("named"), "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

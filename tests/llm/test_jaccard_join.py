@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from motifloom.llm import jaccard_join as module
 from motifloom.llm.components import connected_components
@@ -103,6 +104,21 @@ def test_components_around_frequent_nodes(spark, monkeypatch):
         assert dict(connected_components(frame).collect()) == expected
 
 
+def test_only_frequent_nodes_and_texts_are_broadcast(spark, make_docs, monkeypatch):
+    """A broadcast a step, though of nothing, filled the driver's memory over many rounds."""
+    asked, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: asked.append(1) or broadcast(df))
+    rng = random.Random(11)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    rows = [(i, words(rng, 30)) for i in range(20)]
+    rows += [(50 + i, rows[i % 4][1] + " tail" * (i % 2)) for i in range(12)]
+    connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert result(make_docs(rows)) == brute(rows) and not asked
+    monkeypatch.setattr("motifloom.llm.components.HOT_ROWS", 1)
+    connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert asked
+
+
 def test_link_counts(make_docs, texts):
     rng = random.Random(8)
     base = words(rng, 60).split()
