@@ -68,19 +68,32 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes from the lowest, after their number; those above the largest value are left out."""
+    x = x.astype("<u8", copy=False)
+    used = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+    by_byte = x.view(np.uint8).reshape(-1, 8)
+    return bytes([used]) + b"".join(by_byte[:, i].tobytes() for i in range(used))
+
+
+def _of_planes(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The ``n`` values whose planes start at a byte, and where these end."""
+    used, out = raw[at], np.zeros((n, 8), np.uint8)
+    for i in range(used):
+        out[:, i] = np.frombuffer(raw, np.uint8, n, at + 1 + i * n)
+    return out.view("<u8").ravel(), at + 1 + used * n
+
+
 def _squeeze(key: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane, with their counts."""
-    delta = np.diff(key, prepend=key[:1] * 0)
-    planes = np.ascontiguousarray(delta.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes() + np.ascontiguousarray(count.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.compress(len(key).to_bytes(8, "little") + planes, 3)
+    return zstandard.compress(len(key).to_bytes(8, "little") + _planes(np.diff(key, prepend=key[:1] * 0)) + _planes(count), 3)
 
 
 def _expand(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    a = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n)
-    b = np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(a.T).view("<u8").ravel(), dtype=U64), np.ascontiguousarray(b.T).view("<i8").ravel()
+    delta, at = _of_planes(raw, 8, n)
+    return np.cumsum(delta, dtype=U64), _of_planes(raw, at, n)[0].view("<i8")
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +106,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _summed_by_bucket(buckets: list[np.ndarray], keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bucket, key), ascending, with the sums of their counts."""
+    """Distinct (bucket, key), ascending, with the sums of their counts.  Keys are sorted within a
+    bucket, where most come in a few ascending runs, which a stable sort only merges."""
     bucket, key, count = np.concatenate(buckets), np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(bucket[order], kind="stable")]
-    bucket, key, count = bucket[order], key[order], count[order]
-    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))))[: len(key)]
-    return bucket[at], key[at], np.add.reduceat(count, at) if len(at) else count
+    out = [(k, *_summed([key[mine]], [count[mine]])) for k, mine in _by_file(bucket)]
+    return np.repeat(np.array([k for k, _, _ in out], bucket.dtype), [len(x) for _, x, _ in out]), np.concatenate([x for _, x, _ in out]), np.concatenate([x for _, _, x in out])
 
 
 def _bytes(count: np.ndarray) -> dict[str, np.ndarray]:
@@ -111,45 +122,64 @@ def _bytes(count: np.ndarray) -> dict[str, np.ndarray]:
 
 def _wide(a: dict[str, np.ndarray], at: np.ndarray | slice = slice(None), width: int = 1) -> np.ndarray:
     """Rows of ``width`` counts that `_bytes` has packed, all or those at given places."""
-    out = a["small"].reshape(-1, width)[at].astype(np.int64)
-    row, column = np.nonzero(out == 255)
-    if len(row):
+    rows = a["small"].reshape(-1, width)
+    rows = rows[at] if isinstance(at, slice) else rows.take(at, axis=0)
+    out = rows.astype(np.int64)
+    if len(a["at"]) and len(flat := np.flatnonzero(rows == 255)):
+        row, column = np.divmod(flat, width)
         place = row if isinstance(at, slice) else at[row]
         out[row, column] = a["large"][np.searchsorted(a["at"], place * width + column)]
     return out
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, a place of each, and which one is at each place."""
-    order = np.argsort(key)
-    key = key[order]
+def _distinct(context: np.ndarray, word: np.ndarray, contexts: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below ``contexts`` and ``words``, ascending, a place of each, and
+    which one is at each place.  Where a pair and its place fit 64 bits, these are sorted as one."""
+    low, bits = U64(max(words - 1, 0).bit_length()), U64(max(len(word) - 1, 0).bit_length())
+    key = (context.astype(U64) << low) | word.astype(U64)
+    if max(contexts - 1, 0).bit_length() + int(low) + int(bits) <= 64:
+        key = np.sort((key << bits) | np.arange(len(key), dtype=U64))
+        order = (key & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        key >>= bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
-    return key[new], order[new], place
+    key = key[new]
+    return (key >> low).astype(np.int64), (key & ((U64(1) << low) - U64(1))).astype(np.int64), order[new], place
 
 
 def _find(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where ``want`` lies in the ascending stretches ``words[lo:hi]``, and whether it is there."""
-    lo, end, hi = lo.copy(), hi, hi.copy()
+    want, out = want.astype(words.dtype), lo.copy()
     live = np.flatnonzero(hi - lo > 1)
+    at, left, sought = lo[live], (hi - lo)[live], want[live]
     while len(live):
-        mid = (lo[live] + hi[live]) >> 1
-        less = words[mid] < want[live]
-        lo[live[less]] = mid[less] + 1
-        hi[live[~less]] = mid[~less]
-        live = live[lo[live] < hi[live]]  # a single one is compared below
-    ok = lo < end
-    ok[ok] = words[lo[ok]] == want[ok]
-    return lo, ok
-
-
-def _by_file(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each file's number and the places that hold it."""
-    order = np.argsort(where, kind="stable")
-    where = where[order]
-    at = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))[: len(where)]
-    yield from zip(where[at].tolist(), np.split(order, at[1:]), strict=False)
+        for _ in range(4):  # a stretch of one stays as it is
+            half = left >> 1
+            at += half * (words[at + half - 1] < sought)
+            left -= half
+        out[live] = at
+        more = np.flatnonzero(left > 1)
+        live, at, left, sought = live[more], at[more], left[more], sought[more]
+    ok = lo < hi
+    ok[ok] = words[out[ok]] == want[ok]
+    return out, ok
+
+
+def _by_file(where: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """Each file's number and the places that hold it, as a slice where they ascend."""
+    order = None
+    if not len(where):
+        return
+    if (where[1:] < where[:-1]).any():
+        order = np.argsort(where, kind="stable")
+        where = where[order]
+    at = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    for a, b in zip(at.tolist(), np.append(at[1:], len(where)).tolist(), strict=True):
+        yield int(where[a]), slice(a, b) if order is None else order[a:b]
 
 
 def _starts(context: np.ndarray, contexts: int) -> np.ndarray:
@@ -240,10 +270,12 @@ class Model:
         for n, mine in _by_file(where):
             g = self.arrays(f"grams{m}-{n}")
             own = (context[mine].astype(np.int64) - int(g["base"][0])) if m == 2 else (context[mine] & LOW).astype(np.int64)
+            last, to = word[mine], known[mine]
             inside = (own >= 0) & (own < len(g["start"]) - 1)
-            mine, own = mine[inside], own[inside]
-            place, ok = _find(g["word"], g["start"][own].astype(np.int64), g["start"][own + 1].astype(np.int64), word[mine])
-            out[known[mine[ok]]] = (U64(n) << U64(32)) | place[ok].astype(U64)
+            if not inside.all():
+                own, last, to = own[inside], last[inside], to[inside]
+            place, ok = _find(g["word"], g["start"][own].astype(np.int64), g["start"][own + 1].astype(np.int64), last)
+            out[to[ok]] = (U64(n) << U64(32)) | place[ok].astype(U64)
         return out
 
     def of_places(self, kind: str, places: np.ndarray, width: int = 1) -> np.ndarray:
@@ -260,15 +292,15 @@ class Model:
         distinct n-gram, which one each token ends, its context and its last word, each as a number
         among the distinct shorter n-grams and words).  ``own``: each token's distinct word."""
         rank = np.arange(len(own)) - np.repeat(first[:-1], np.diff(first))
-        before = own
+        before, contexts, words = own, len(ids), len(ids)
         for m in range(2, longest + 1):
             at = np.flatnonzero(rank >= m - 2)
             context = before[np.maximum(at - 1, 0)]
             if m == 2:
                 context[rank[at] == 0] = end
-            key, sample, place = _distinct((context.astype(U64) << U64(32)) | own[at].astype(U64))
-            yield m, at, at[sample], place, (key >> U64(32)).astype(np.int64), (key & LOW).astype(np.int64)
-            before = np.zeros(len(own), np.int64)
+            context, word, sample, place = _distinct(context, own[at], contexts, words)
+            yield m, at, at[sample], place, context, word
+            before, contexts = np.zeros(len(own), np.int64), len(context)
             before[at] = place
 
     def score(self, w: Words) -> dict[str, np.ndarray]:
@@ -300,7 +332,8 @@ class Model:
     def left(self, m: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Totals of the contexts at places, and the weights that they leave to the lower order."""
         after = self.of_places(f"after{m}", places, 4)
-        return after[:, 0], after[:, 1:] @ self.cuts[m + 1][1:] / np.maximum(after[:, 0], 1)
+        cut = self.cuts[m + 1]
+        return after[:, 0], (after[:, 1] * cut[1] + after[:, 2] * cut[2] + after[:, 3] * cut[3]) / np.maximum(after[:, 0], 1)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:

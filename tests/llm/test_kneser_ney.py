@@ -106,3 +106,42 @@ def test_counts_over_32_bits_stay_whole():
     (batch,) = module._dealt("context", np.array([0, 10]), np.array([2, 4]), np.array([[2**33, 1], [3, 2**34]]))
     ids, values = module._load(batch.column("data")[0].as_py())
     assert ids.tolist() == [2, 4] and values.tolist() == [2**33, 1, 3, 2**34]
+
+
+def test_lookups_do_without_sorts_and_passes_over_all():
+    """The time of training and scoring: ascending files are slices, a search halves whole stretches
+    in few steps, pairs are sorted with their places, and blocks hold no empty planes."""
+    rng = np.random.default_rng(5)
+    assert [(k, x) for k, x in module._by_file(np.array([2, 2, 5]))] == [(2, slice(0, 2)), (5, slice(2, 3))]
+    assert [(k, x.tolist()) for k, x in module._by_file(np.array([5, 2, 5]))] == [(2, [1]), (5, [0, 2])]
+    assert not list(module._by_file(np.zeros(0, np.int64)))
+
+    sizes = np.array([0, 1, 2, 3, 0, 7, 64, 1000, 1])
+    stretches = [np.sort(rng.choice(5000, n, replace=False)).astype(np.uint32) for n in sizes]
+    ends = np.cumsum(sizes)
+    file = np.concatenate(stretches)
+    which = np.repeat(np.arange(len(sizes)), 5000)
+    want = np.tile(np.arange(5000), len(sizes)).astype(np.uint64)
+    mix = rng.permutation(len(want))
+    place, ok = module._find(file, (ends - sizes)[which[mix]], ends[which[mix]], want[mix])
+    assert ok.tolist() == [w in held for w, held in zip(want[mix].tolist(), [set(stretches[k].tolist()) for k in which[mix]], strict=True)]
+    assert (file[place[ok]] == want[mix][ok]).all() and (place[ok] >= (ends - sizes)[which[mix]][ok]).all() and (place[ok] < ends[which[mix]][ok]).all()
+
+    a, b = rng.integers(0, 50, 900), rng.integers(0, 40, 900)
+    for contexts, words in ((50, 40), (2**32, 2**32), (2**40, 2**24), (1 << 27, 1 << 27)):  # packed with places and not
+        context, word, sample, place = module._distinct(a, b, contexts, words)
+        assert list(zip(context, word, strict=True)) == sorted(set(zip(a, b, strict=True)))
+        assert (a[sample] == context).all() and (b[sample] == word).all() and (context[place] == a).all() and (word[place] == b).all()
+    assert [len(x) for x in module._distinct(a[:0], b[:0], 1, 1)] == [0, 0, 0, 0]
+
+    bucket, key, count = rng.integers(0, 9, 500), rng.integers(0, 30, 500).astype(np.uint64), rng.integers(1, 5, 500)
+    got = module._summed_by_bucket([bucket[:200].astype(np.int32), bucket[200:].astype(np.int32)], [key[:200], key[200:]], [count[:200], count[200:]])
+    want = Counter()
+    for k, x, n in zip(bucket.tolist(), key.tolist(), count.tolist(), strict=True):
+        want[k, x] += n
+    assert list(zip(got[0].tolist(), got[1].tolist(), got[2].tolist(), strict=True)) == [(*k, n) for k, n in sorted(want.items())]
+
+    assert module._planes(np.array([0, 255])) == b"\1\0\xff" and module._planes(np.zeros(3, np.uint64)) == b"\0"
+    for keys, counts in (([], []), ([0], [0]), ([1, 2**64 - 1], [255, 256])):
+        blob = module._squeeze(np.array(keys, np.uint64), np.array(counts, np.int64))
+        assert [x.tolist() for x in module._expand(blob)] == [keys, counts]
